@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamap.llm import encode, heavy, together
+from stratamap.llm import encode, heavy, leak, together
 from stratamap.llm.sql import ORACLES  # noqa: F401
 from stratamap.operators.current import BLOB_KEY, present_elements
 from stratamap.session import table
@@ -51,4 +51,14 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_top, p5_found, p5_pairs, p7_ids)}
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """The longest passage of each test item in each document, with its place in words."""
+    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of a test item, and the item."""
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p2_found, p2_top, p5_found, p5_pairs, p7_ids)}
