@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
@@ -218,7 +219,7 @@ def _encode(batches: Iterator[pa.RecordBatch], key: str, text: str, path: str) -
     merge = merger(path)
     for b in batches:
         texts = b.column(text)
-        chars = np.append(0, np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)))
+        chars = np.append(0, np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)))
         i = 0
         while i < len(b):
             j = max(i + 1, int(np.searchsorted(chars, chars[i] + CHUNK, "right")) - 1)
@@ -236,8 +237,6 @@ def encode_corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     few million characters at a time, so very long texts only cost their own size. ``path`` names the
     vocabulary, which every worker must be able to read.
     """
-    import pyarrow.compute  # noqa: F401
-
     kind = dict(docs.dtypes)[key]
     return docs.select(key, text).mapInArrow(lambda it: _encode(it, key, text, path), f"{key} {kind}, ids array<int>")
 
