@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamap.llm import encode, heavy, leak, together
+from stratamap.llm import abuse, encode, heavy, leak, together
 from stratamap.llm.sql import ORACLES  # noqa: F401
 from stratamap.operators.current import BLOB_KEY, present_elements
 from stratamap.session import table
@@ -61,4 +61,19 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p2_found, p2_top, p5_found, p5_pairs, p7_ids)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Score and verdict of every document."""
+    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold abusive, hateful or sexual content."""
+    return p9_scores(spark, d).filter("is_abusive").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Abusive documents per source."""
+    return abuse.rates_by_source(p9_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p9_found, p9_scores, p9_rates, p2_found, p2_top, p5_found, p5_pairs, p7_ids)}
