@@ -354,7 +354,7 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7, rounds: in
         best = np.array([first[d] + int(score[first[d] : first[d] + len(wins[d])].argmax()) for d in range(len(wins))])
         pos = best[(y == 1) & ~held]
         if rnd == 0:
-            pos = pos[score[pos] > np.quantile(score[best[(y == 0) & ~held]], 0.97)]
+            pos = pos[score[pos] > _floor(score[pos], score[best[(y == 0) & ~held]])]
             if len(pos) < 4:
                 pos = best[(y == 1) & ~held]
         else:
@@ -385,11 +385,23 @@ def train(texts: Sequence[str], labels: Sequence[int], seed: int = 7, rounds: in
     return m
 
 
+def _floor(pos: np.ndarray, neg: np.ndarray, ratio: float = 30.0) -> float:
+    """The lowest evidence that positive documents exceed ``ratio`` times as often as negative ones.
+
+    Where many negative documents are mislabelled no evidence may reach the ratio; then the best one counts.
+    """
+    cuts = np.unique(np.quantile(neg, np.linspace(0.5, 1, 401)))
+    p, q = ((v[:, None] > cuts).mean(axis=0) for v in (pos, neg))
+    r = p / np.maximum(q, 1 / max(len(neg), 1))
+    good = np.flatnonzero((r >= ratio) & (p > 0))
+    return float(cuts[good[0]] if len(good) else cuts[np.where(p >= 0.2 * p.max(), r, 0).argmax()])
+
+
 def _threshold(top: np.ndarray, y: np.ndarray) -> float:
     """The upper quartile of the best F1 plateau on held-out documents, kept within sane bounds of the logit."""
     if y.sum() < 5:
         return 0.0
-    cuts = np.linspace(-3, 3, 61)
+    cuts = np.linspace(-1, 3, 41)
     f1 = np.array([2 * ((top > c) & (y == 1)).sum() / max((top > c).sum() + (y == 1).sum(), 1) for c in cuts])
     return float(np.quantile(cuts[f1 >= f1.max() - 0.02], 0.75))
 

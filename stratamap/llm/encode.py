@@ -198,7 +198,9 @@ def encode_texts(texts: pa.Array, merge: Merger) -> tuple[np.ndarray, np.ndarray
     texts = texts.fill_null("").cast(pa.large_string())
     size = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2].to_pybytes()[size[0] : size[-1]] if len(texts) and texts.buffers()[2] is not None else b""
-    size = size - size[0] if len(size) else np.zeros(1, np.int64)
+    if not data:
+        return np.empty(0, np.int32), np.zeros(len(texts), np.int64), np.empty(0, np.int64)
+    size = size - size[0]
     raw = np.frombuffer(data, np.uint8)
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
     cp = np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)

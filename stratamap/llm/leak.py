@@ -20,7 +20,7 @@ SHARD, SAMPLE = 1_500_000, 8
 MAX_ITEM_WORDS = 5_000_000
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
-_CITE = re.compile(r"\\(?:[a-zA-Z]*cite[a-zA-Z]*|[a-zA-Z]*ref|label)\*?(?:\[[^\]]*\])*\{[^}]*\}")
+_CITE = re.compile(r"\\(?:[a-zA-Z]*cite[a-zA-Z]*|[a-zA-Z]*ref|label)\*?(?:\[[^\[\]]*\])*\{[^{}]*\}")
 _KEY = re.compile(r"\[[a-z]+[0-9]{4}[a-z]?(?:[,;] ?[a-z]+[0-9]{4}[a-z]?)*\]")
 _ACCENT = re.compile(r"\\[\"'`^~=.](?:\{\\?([a-zA-Z])\}|\\?([a-zA-Z]))")
 _COMMAND = re.compile(r"\\[a-zA-Z@]+\*?")
@@ -59,7 +59,7 @@ def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(h):
         key <<= bits
-        key[: n - j] |= s[j:]
+        key[: max(0, n - j)] |= s[j:]
     # ends are shorter than any symbol: a true end sorts before, the tie is settled by length below
     order = np.argsort(key, kind="stable")
     k = key[order]
