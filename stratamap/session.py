@@ -76,3 +76,13 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("stratamap", os.path.relpath(full, root)))
     spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a small table over all cores where its files give fewer partitions than there are cores.
+
+    For work that is heavy per row and otherwise map-only. A table of enough files or row groups is left as it
+    is, so nothing large is ever shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
