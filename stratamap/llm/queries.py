@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from stratamap.llm import abuse, encode, heavy, leak, together
 from stratamap.llm.sql import ORACLES  # noqa: F401
 from stratamap.operators.current import BLOB_KEY, present_elements
-from stratamap.session import table
+from stratamap.session import spread, table
 
 TOKENIZERS = os.environ.get("STRATAMAP_TOKENIZERS", "/opt/tokenizers")
 
@@ -48,12 +48,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids of every document by the 50k byte-level vocabulary."""
-    return encode.encode_corpus(table(spark, d, "documents"), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
+    return encode.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """The longest passage of each test item in each document, with its place in words."""
-    return leak.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leak.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score and verdict of every document."""
-    return abuse.score_documents(table(spark, d, "documents"), table(spark, d, "content_labels"))
+    return abuse.score_documents(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "content_labels"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
