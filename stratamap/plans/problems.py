@@ -129,13 +129,16 @@ _CELLS = (
 """
 )
 
+_POSITIONS = """WITH stored AS (
+  SELECT n.id, n.info_version AS v, coalesce(n.info_visible, true) AS vis, coalesce(b.lat_offset, 0) + coalesce(b.granularity, 100) * n.lat AS la, coalesce(b.lon_offset, 0) + coalesce(b.granularity, 100) * n.lon AS lo
+  FROM dense_nodes n LEFT JOIN blobs b ON b.file_path = n.file_path AND b.blob_offset = n.blob_offset WHERE n.id IS NOT NULL),
+ cur AS (SELECT id, la, lo, 1e-9 * la AS y, 1e-9 * lo AS x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC NULLS LAST) AS rn FROM stored) WHERE rn = 1 AND vis AND la BETWEEN -90000000000 AND 90000000000 AND lo BETWEEN -180000000000 AND 180000000000)"""
+
 ORACLES = {
     "p1_found": _ORPHANS + "SELECT DISTINCT r.* FROM refs r WHERE missing_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present p WHERE p.id = r.missing_id)",
     "p1_report": _ORPHANS + "SELECT ref_table, month_key, count(*) AS n_refs, count(DISTINCT missing_id) AS n_missing FROM refs r WHERE missing_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present p WHERE p.id = r.missing_id) GROUP BY 1, 2",
-    "p3_found": """WITH stored AS (
-  SELECT n.id, n.info_version AS v, coalesce(n.info_visible, true) AS vis, coalesce(b.lat_offset, 0) + coalesce(b.granularity, 100) * n.lat AS la, coalesce(b.lon_offset, 0) + coalesce(b.granularity, 100) * n.lon AS lo
-  FROM dense_nodes n LEFT JOIN blobs b ON b.file_path = n.file_path AND b.blob_offset = n.blob_offset WHERE n.id IS NOT NULL),
- cur AS (SELECT id, la, lo, 1e-9 * la AS y, 1e-9 * lo AS x FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY v DESC NULLS LAST) AS rn FROM stored) WHERE rn = 1 AND vis AND la BETWEEN -90000000000 AND 90000000000 AND lo BETWEEN -180000000000 AND 180000000000),
+    "p3_found": _POSITIONS
+    + """,
  cells AS (SELECT *, CAST(floor(y / 0.0002) AS BIGINT) AS gy FROM cur),
  around AS (SELECT *, gy + d AS hy FROM cells, (SELECT unnest([-1, 0, 1]) AS d))
 SELECT a.id AS id_a, b.id AS id_b FROM cells a JOIN around b ON a.gy = b.hy AND a.id < b.id
