@@ -191,10 +191,7 @@ def merger(path: str) -> Merger:
 
 
 def encode_texts(texts: pa.Array, merge: Merger) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, ids per text, byte end of each id's pre-token) of a string array; null and empty texts have no ids.
-
-    The byte ends, relative to the batch, let a caller cut any id range back out of the text.
-    """
+    """(ids, ids per text, byte end of each id's pre-token in its text) of a string array; null and empty texts have no ids."""
     texts = texts.fill_null("").cast(pa.large_string())
     size = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2].to_pybytes()[size[0] : size[-1]] if len(texts) and texts.buffers()[2] is not None else b""
@@ -214,10 +211,10 @@ def encode_texts(texts: pa.Array, merge: Merger) -> tuple[np.ndarray, np.ndarray
     where = np.repeat(merge.base[kinds] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
     ends = np.append(0, np.cumsum(each))
     per_text = np.diff(ends[np.searchsorted(at, size)])
-    return merge.flat[where], per_text, np.repeat(stop, each)
+    return merge.flat[where], per_text, np.repeat(stop, each) - np.repeat(size[:-1], per_text)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], key: str, text: str, path: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], key: str, text: str, path: str, offsets: bool) -> Iterator[pa.RecordBatch]:
     merge = merger(path)
     for b in batches:
         texts = b.column(text)
@@ -225,22 +222,26 @@ def _encode(batches: Iterator[pa.RecordBatch], key: str, text: str, path: str) -
         i = 0
         while i < len(b):
             j = max(i + 1, int(np.searchsorted(chars, chars[i] + CHUNK, "right")) - 1)
-            ids, n, _ = encode_texts(texts.slice(i, j - i), merge)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(key).slice(i, j - i), lists], [key, "ids"])
+            ids, n, ends = encode_texts(texts.slice(i, j - i), merge)
+            at = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
+            out = {key: b.column(key).slice(i, j - i), "ids": pa.ListArray.from_arrays(at, pa.array(ids))}
+            if offsets:
+                out["ends"] = pa.ListArray.from_arrays(at, pa.array(ends.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
             i = j
 
 
-def encode_corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_corpus(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", offsets: bool = False) -> DataFrame:
     """One row per document: its key and ``ids array<int>`` without special tokens.
 
     Null and empty texts get an empty list, a null key stays null, repeated keys each keep their row. Strings
     that look like special tokens are ordinary text. Map-only: nothing is shuffled, and a worker holds a
     few million characters at a time, so very long texts only cost their own size. ``path`` names the
-    vocabulary, which every worker must be able to read.
+    vocabulary, which every worker must be able to read. With ``offsets`` there is also ``ends array<int>``: for each
+    id the byte of the text where its pre-token ends, so that any range of ids can be cut back out of the text.
     """
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(lambda it: _encode(it, key, text, path), f"{key} {kind}, ids array<int>")
+    return docs.select(key, text).mapInArrow(lambda it: _encode(it, key, text, path, offsets), f"{key} {kind}, ids array<int>" + ", ends array<int>" * offsets)
 
 
 def decode(ids: list[int], ranks: dict[bytes, int]) -> str:

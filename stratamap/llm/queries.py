@@ -51,6 +51,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken")
 
 
+def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of every document with the byte ends of their pre-tokens."""
+    return encode.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")), f"{TOKENIZERS}/byte_bpe_50k.tiktoken", offsets=True)
+
+
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     """The longest passage of each test item in each document, with its place in words."""
     return leak.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
@@ -76,4 +81,4 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(p9_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p9_found, p9_scores, p9_rates, p2_found, p2_top, p5_found, p5_pairs, p7_ids)}
+QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p9_found, p9_scores, p9_rates, p2_found, p2_top, p5_found, p5_pairs, p7_ids, p7_offsets)}
