@@ -97,3 +97,7 @@ class Extract:
     def header_has(self, feature: str) -> DataFrame:
         """Files that require the feature."""
         return self.header().filter(F.array_contains("required_features", feature)).select("path")
+
+    def blobs_with(self, kind: str) -> DataFrame:
+        """Blobs that hold at least one element of the kind, with its id range."""
+        return self.blob_zones().filter(F.col("kind") == kind)

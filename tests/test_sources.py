@@ -146,3 +146,21 @@ def test_stream_of_extracts(spark, tmp_path):
         assert sorted((r.kind, r.id) for r in spark.table("arrived").collect()) == [("node", 1), ("node", 105), ("node", 106), ("node", 108), ("way", 107)]
     finally:
         q.stop()
+
+
+RANGES = [(None, None), (0, 0), (1, 1), (2, 2), (3, 3), (3, 5), (3, 6), (6, 6), (7, 7), (0, 1), (2, 9), (-5, 0), (-5, 10), (7, 99), (4, 4)]
+
+
+def test_id_ranges_against_a_set(spark):
+    zones = spark.createDataFrame([("p", i, "node", a, b) for i, (a, b) in enumerate(RANGES)] + [("p", 99, "way", 1, 2)], "path string, blob_offset bigint, kind string, min_id bigint, max_id bigint")
+    ids = spark.createDataFrame([(1,), (2,), (6,), (6,), (None,)], "id bigint")
+    want = [("p", i) for i, (a, b) in enumerate(RANGES) if a is not None and any(a <= x <= b for x in (1, 2, 6))]
+    assert extract.zones_hit(zones, ids) == want
+    assert extract.zones_hit(zones, ids.limit(0)) == [] and extract.zones_hit(zones.limit(0), ids) == []
+
+
+def test_availability_of_kinds(spark, golden_file):
+    x = Extract(spark, golden_file)
+    assert {k: x.blobs_with(k).count() for k in ("node", "way", "relation")} == {"node": 1, "way": 1, "relation": 1}
+    z = x.blobs_with("node").first()
+    assert (z.min_id, z.max_id, z.n) == (105, 108, 3)
