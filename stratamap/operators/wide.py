@@ -78,6 +78,8 @@ def typed(wide: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str, str
 
 
 def cells(wide: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str, str]]) -> DataFrame:
-    """The filled cells of a wide text table, one row each: entity, ``attr, attr_text``."""
+    """The filled cells of a wide text table, one row each: entity, ``attr, attr_text``; none without attributes."""
+    if not attrs:
+        return wide.filter(F.lit(False)).select(*entity, F.lit("").alias("attr"), F.lit("").alias("attr_text"))
     each = F.array(*[F.struct(F.lit(a).alias("attr"), F.col(f"`{a}`").alias("attr_text")) for a, _ in attrs])
     return wide.select(*entity, F.explode(each).alias("c")).select(*entity, "c.attr", "c.attr_text").filter("attr_text is not null")
