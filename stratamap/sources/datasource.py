@@ -13,12 +13,9 @@ remembers a filter of another one:
 
 from __future__ import annotations
 
-import glob
-import os
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -27,33 +24,13 @@ from pyspark.sql.types import StructType
 
 from stratamap.sources import blocks, framing, model
 from stratamap.sources.encode import Layout, blob, encode_blocks, header_message
-from stratamap.sources.errors import ExtractError, UnexpectedEof
+from stratamap.sources.errors import ExtractError
+from stratamap.sources.files import Folder, list_files, open_file
 
 #: From so many files on, each task does the framing of its own files.
 SCAN_IN_TASKS = 64
 
 
-def local_path(path: str) -> str:
-    u = urlparse(path)
-    return unquote(u.path) if u.scheme == "file" else path
-
-
-def list_files(spec: str) -> list[str]:
-    """Files of a comma-separated list of files, folders and patterns, sorted; hidden files and markers are left out."""
-    out: list[str] = []
-    for part in spec.split(","):
-        p = local_path(part.strip())
-        if os.path.isdir(p):
-            out += [os.path.join(d, f) for d, _, names in os.walk(p) for f in names if f[0] not in "._"]
-        elif any(c in p for c in "*?["):
-            out += [f for f in glob.glob(p) if os.path.isfile(f)]
-        elif os.path.exists(p):
-            out.append(p)
-        else:
-            raise FileNotFoundError(p)
-    return sorted(set(out))
-
-
 @dataclass
 class Split(InputPartition):
     """Blobs of one file, or whole files whose framing the task does itself."""
@@ -91,7 +68,7 @@ class BlockReader(DataSourceReader):
             yield from framing.scan_heads(path, self.strict, self.start)
             return
         own = {x.rpartition("@") for x in self.offsets}
-        with open(path, "rb") as f:
+        with open_file(path) as f:
             for offset in sorted(int(o) for p, _, o in own if p in ("", path)):
                 yield framing.head_at(f, offset, self.strict)
 
@@ -115,7 +92,7 @@ class BlockReader(DataSourceReader):
 
     def each(self, split: Split) -> Iterator[tuple[str, framing.BlobHead, bytes]]:
         for path in split.files:
-            with open(path, "rb") as f:
+            with open_file(path) as f:
                 for head in split.heads if split.heads is not None else self.heads(path):
                     if self.wanted(path, head):
                         yield path, head, framing.read_body(f, head, self.strict)
@@ -201,24 +178,22 @@ class StringSource(_Source):
 
 @dataclass
 class Written(WriterCommitMessage):
-    path: str | None
+    name: str | None
 
 
 class ElementWriter(DataSourceArrowWriter):
-    """Each task writes one extract of its own; names appear only when the task has succeeded."""
+    """Each task writes one extract of its own; names appear only when the whole job has succeeded."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         number = lambda k: int(options[k]) if options.get(k) is not None else None
-        self.folder = local_path(options["path"])
+        self.path = options["path"]
         self.layout = Layout(options.get("compression", "zlib"), int(options.get("block_size", 8000)), number("granularity"), number("lat_offset"), number("lon_offset"), number("date_granularity"))
         self.required = tuple(x for x in options.get("required_features", "OsmSchema-V0.6,DenseNodes").split(",") if x)
         self.optional = tuple(x for x in options.get("optional_features", "").split(",") if x)
         self.overwrite = overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        name = f"part-{uuid.uuid4().hex}.pbf"
-        hidden, n = os.path.join(self.folder, f".{name}"), 0
+        folder, name, n = Folder(self.path), f".part-{uuid.uuid4().hex}.pbf", 0
 
         def rows() -> Iterator[dict]:
             nonlocal n
@@ -226,30 +201,31 @@ class ElementWriter(DataSourceArrowWriter):
                 n += b.num_rows
                 yield from b.to_pylist()
 
-        with open(hidden, "wb") as f:
+        with folder.create(name) as f:
             f.write(blob(framing.HEADER_TYPE, header_message(self.required, self.optional), self.layout.compression))
             for data in encode_blocks(rows(), self.layout):
                 f.write(data)
-        if not n:
-            os.remove(hidden)
-            return Written(None)
-        return Written(hidden)
+        if n:
+            return Written(name)
+        folder.delete(name)
+        return Written(None)
 
     def commit(self, messages: list[Written | None]) -> None:
-        new = {m.path for m in messages if m is not None and m.path}
-        os.makedirs(self.folder, exist_ok=True)
+        folder, new = Folder(self.path), [m.name for m in messages if m is not None and m.name]
         if self.overwrite:
-            for f in os.listdir(self.folder):
-                if os.path.join(self.folder, f) not in new and f.startswith(("part-", ".part-")):
-                    os.remove(os.path.join(self.folder, f))
-        for p in new:
-            os.rename(p, os.path.join(os.path.dirname(p), os.path.basename(p)[1:]))
-        open(os.path.join(self.folder, "_SUCCESS"), "w").close()
+            for name in folder.names():
+                if name not in new and name.startswith(("part-", ".part-")):
+                    folder.delete(name)
+        for name in new:
+            folder.rename(name, name[1:])
+        folder.create("_SUCCESS").close()
 
     def abort(self, messages: list[Written | None]) -> None:
-        for m in messages:
-            if m is not None and m.path and os.path.exists(m.path):
-                os.remove(m.path)
+        folder = Folder(self.path)
+        written = {m.name for m in messages if m is not None and m.name}
+        for name in folder.names():
+            if name in written:
+                folder.delete(name)
 
 
 class ElementSource(_Source):
@@ -273,4 +249,4 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(s)
 
 
-__all__ = ["SOURCES", "UnexpectedEof", "list_files", "register"]
+__all__ = ["SOURCES", "list_files", "register"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from stratamap.session import ship_package, table
 from stratamap.sources import datasource
+from stratamap.sources.files import local_path
 
 #: Raised whenever the mapping or the writer changes, so that older files are not read again.
 VERSION = 2
@@ -91,7 +92,7 @@ def _root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return datasource.local_path(named) if named else os.path.join(tempfile.gettempdir(), f"stratamap-extracts-{os.getuid()}")
+    return local_path(named) if named else os.path.join(tempfile.gettempdir(), f"stratamap-extracts-{os.getuid()}")
 
 
 def _write(df: DataFrame, path: str, **options: str) -> None:

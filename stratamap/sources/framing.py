@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from dataclasses import dataclass
 from typing import BinaryIO
 
 from stratamap.sources.errors import BadMessage, EmptyBlob, HeaderTooBig, InvalidHeaderSize, MessageTooBig, UnexpectedEof
+from stratamap.sources.files import open_file
 from stratamap.sources.wire import BYTES, VARINT, fields, int32
 
 #: Fixed values of the format: limits in bytes and the two blob types that are decoded.
@@ -73,8 +73,8 @@ def read_head(f: BinaryIO, strict: bool) -> BlobHead | None:
 
 def scan_heads(path: str, strict: bool = False, start: int = 0) -> Iterator[BlobHead]:
     """All headers from ``start`` on, skipping over bodies. A cut-off last body goes unnoticed here."""
-    with open(path, "rb") as f:
-        end = os.fstat(f.fileno()).st_size
+    with open_file(path) as f:
+        end = f.seek(0, 2)
         if start > end:
             raise UnexpectedEof(f"UnexpectedEof: offset {start} lies beyond the {end} bytes of {path}")
         f.seek(start)

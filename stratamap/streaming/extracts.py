@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratamap.session import ship_package
 from stratamap.sources import blocks, framing, model
-from stratamap.sources.datasource import local_path, names_of
+from stratamap.sources.datasource import names_of
+from stratamap.sources.files import open_file
 
 
 def _decode_files(batches: Iterator[pa.RecordBatch], columns: Sequence[str], kinds: set[str], strict: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path in b.column("path").to_pylist():
-            path = local_path(path)
-            with open(path, "rb") as f:
+            with open_file(path) as f:
                 for head in framing.scan_heads(path, strict):
                     if head.blob_type == framing.DATA_TYPE:
                         yield from blocks.decode_block(framing.payload(framing.read_body(f, head, strict)), path, head.offset, columns, kinds)

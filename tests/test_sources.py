@@ -164,3 +164,24 @@ def test_availability_of_kinds(spark, golden_file):
     assert {k: x.blobs_with(k).count() for k in ("node", "way", "relation")} == {"node": 1, "way": 1, "relation": 1}
     z = x.blobs_with("node").first()
     assert (z.min_id, z.max_id, z.n) == (105, 108, 3)
+
+
+def test_arrow_file_systems(spark, tmp_path, golden_file, monkeypatch):
+    """The path that remote files take, by way of Arrow's own file scheme."""
+    from stratamap.sources import files
+
+    monkeypatch.setattr(files, "local_path", lambda p: None if "://" in p else p)
+    folder = tmp_path.as_uri()
+    assert files.list_files(f"{folder}/*.pbf") == files.list_files(folder) == [f"{folder}/a.pbf"] == files.list_files(f"{folder}/a.pbf")
+    with pytest.raises(FileNotFoundError):
+        files.list_files(f"{folder}/none.pbf")
+    assert [h.blob_type for h in framing.scan_heads(f"{folder}/a.pbf")] == ["OSMHeader", "OSMData", "OSMData", "OSMData"]
+    r = datasource.ElementReader({"path": folder, "columns": "id"})
+    assert sum(b.num_rows for s in r.partitions() for b in r.read(s)) == 5
+    out = files.Folder(f"{folder}/new")
+    with out.create(".x") as f:
+        f.write(b"1")
+    out.rename(".x", "x")
+    assert out.names() == ["x"]
+    out.delete("x")
+    assert out.names() == []
