@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Groups that may be counted at once; each costs every task one sketch.
+MAX_GROUPS = 64
+
+
 @dataclass(frozen=True)
 class Hierarchy:
     """Shape of the sketch: one count-sketch of rows x width per hash prefix length.
@@ -53,6 +57,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], shape: Hierarchy) -> Iterator[pa.
         h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
         w = b.column("weight").to_numpy(zero_copy_only=False).astype(np.int64)
         for g, name in enumerate(group.dictionary.to_pylist()):
+            if name not in tables and len(tables) >= MAX_GROUPS:
+                raise ValueError(f"more than {MAX_GROUPS} groups; count them in several calls")
             pick = codes == g
             hg, wg = h[pick], w[pick]
             t = tables.setdefault(name, np.zeros((len(shape.prefix_bits), shape.rows, shape.width), np.int64))
@@ -94,7 +100,7 @@ def heavy_hitters(items: DataFrame, share: float = 0.01, shape: Hierarchy = Hier
     groups, items and weights do not count. The first scan fills signed count-sketches over prefixes of a
     64-bit hash, merged counter by counter; the driver descends heavy prefixes and gets at most about
     1/(slack*share) candidates per group. The second scan counts the candidates' items exactly, so
-    collisions of hashes only cost work. Equal counts are all reported; no input gives no rows.
+    collisions of hashes only cost work. More than ``MAX_GROUPS`` groups are refused. Equal counts are all reported; no input gives no rows.
     """
     spark = items.sparkSession
     hashed = items.select("field_name", "item", F.col("weight").cast("bigint").alias("weight"), F.xxhash64("item").alias("h")).dropna()

@@ -42,6 +42,12 @@ def test_one_item_only(spark):
     assert [tuple(r) for r in heavy.heavy_hitters(spark.createDataFrame([("f", "", 1)], "field_name string, item string, weight bigint")).collect()] == [("f", "", 1, 1)]
 
 
+def test_too_many_groups_are_refused(spark):
+    rows = [(f"g{i}", "x", 1) for i in range(heavy.MAX_GROUPS + 1)]
+    with pytest.raises(Exception, match="groups"):
+        heavy.heavy_hitters(spark.createDataFrame(rows, "field_name string, item string, weight bigint").coalesce(1)).count()
+
+
 def llr(k, a, b, n):
     def part(x, row, col):
         return x * math.log(x * n / (row * col)) if x else 0.0
