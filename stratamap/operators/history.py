@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Versions of one entity that one merge run holds at most; longer histories are cut into such runs.
@@ -78,8 +78,6 @@ def validity_periods(versions: DataFrame, payload: Sequence[str] = (), collapse:
     """
     rows = versions.select("k", "v", "s", *payload, F.floor(F.col("v") / block).cast("bigint").alias("b"))
     heads = rows.groupBy("k", "b").agg(F.min(F.struct("v", "s")).alias("h"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("k").orderBy(F.col("b").desc())
     closers = (
         heads.withColumn("next", F.lag("h").over(w)).filter("next is not null")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,51 +37,57 @@ def haversine_m(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * EARTH_M * np.arcsin(np.sqrt(np.minimum(h, 1.0)))
 
 
-def fit_splits(xyz: np.ndarray, leaves: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
-    """A k-d split tree as heap arrays (dimension, threshold); dimension -1 marks a leaf.
+@dataclass(frozen=True)
+class Splits:
+    """A k-d split tree: per node its dimension (-1 at a leaf), threshold and two children."""
 
-    A cell is split at its median while it has enough sample points and is wider than a few margins, so
-    halos stay small against their cells.
+    dim: np.ndarray
+    at: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+
+def fit_splits(xyz: np.ndarray, leaves: int, margin: float) -> Splits:
+    """Split the fullest cell at its median while there are fewer than ``leaves`` and it is wider than a few margins.
+
+    Halos so stay small against their cells, and a place that many points share is never split in vain.
     """
-    dim, cut_at = [-1], [0.0]
-    todo, made = [(0, xyz)], 1
+    nodes: list[list] = [[-1, 0.0, -1, -1]]
+    todo, made = [(-len(xyz), 0, xyz)], 1
     while todo and made < leaves:
-        todo.sort(key=lambda t: -len(t[1]))
-        node, pts = todo.pop(0)
-        if len(pts) < 4:
+        size, node, pts = heapq.heappop(todo)
+        if -size < 4:
             break
         width = pts.max(axis=0) - pts.min(axis=0)
         d = int(width.argmax())
-        if width[d] <= 8 * margin:
-            continue
-        m = float(np.median(pts[:, d]))
-        left, right = pts[pts[:, d] < m], pts[pts[:, d] >= m]
-        if not len(left) or not len(right):
+        low = pts[:, d] < np.median(pts[:, d])
+        if width[d] <= 8 * margin or not low.any():
             continue
-        need = 2 * node + 3
-        dim.extend([-1] * (need - len(dim)))
-        cut_at.extend([0.0] * (need - len(cut_at)))
-        dim[node], cut_at[node] = d, m
-        todo += [(2 * node + 1, left), (2 * node + 2, right)]
+        m = float(pts[low, d].max() + pts[~low, d].min()) / 2  # between two values, so that no point lies on the cut
+        nodes[node] = [d, m, len(nodes), len(nodes) + 1]
+        for part in (pts[low], pts[~low]):
+            heapq.heappush(todo, (-len(part), len(nodes), part))
+            nodes.append([-1, 0.0, -1, -1])
         made += 1
-    return np.array(dim, np.int64), np.array(cut_at)
+    dim, at, left, right = zip(*nodes)
+    return Splits(np.array(dim), np.array(at), np.array(left), np.array(right))
 
 
-def place(xyz: np.ndarray, dim: np.ndarray, cut_at: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def place(xyz: np.ndarray, splits: Splits, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, leaf, owner) of every point and of its copies in each leaf closer than the margin."""
     rows, nodes, own = np.arange(len(xyz)), np.zeros(len(xyz), np.int64), np.ones(len(xyz), bool)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(rows):
-        d = dim[nodes]
+        d = splits.dim[nodes]
         leaf = d < 0
         done.append((rows[leaf], nodes[leaf], own[leaf]))
         rows, nodes, own, d = rows[~leaf], nodes[~leaf], own[~leaf], d[~leaf]
-        x, c = xyz[rows, d], cut_at[nodes]
-        left, right = x < c + margin, x >= c - margin
+        x, c = xyz[rows, d], splits.at[nodes]
+        low, high = x < c + margin, x >= c - margin
         rows, own, nodes = (
-            np.concatenate([rows[left], rows[right]]),
-            np.concatenate([(own & (x < c))[left], (own & (x >= c))[right]]),
-            np.concatenate([2 * nodes[left] + 1, 2 * nodes[right] + 2]),
+            np.concatenate([rows[low], rows[high]]),
+            np.concatenate([(own & (x < c))[low], (own & (x >= c))[high]]),
+            np.concatenate([splits.left[nodes[low]], splits.right[nodes[high]]]),
         )
     return tuple(np.concatenate(z) for z in zip(*done)) if done else (rows, nodes, own)
 
@@ -157,10 +165,10 @@ def kd_pairs(xyz: np.ndarray, radius: float, chunk: int = 1 << 15) -> Iterator[t
             yield np.minimum(i, j), np.maximum(i, j)
 
 
-def _assign(batches: Iterator[pa.RecordBatch], dim: np.ndarray, cut_at: np.ndarray, margin: float) -> Iterator[pa.RecordBatch]:
+def _assign(batches: Iterator[pa.RecordBatch], splits: Splits, margin: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lat, lon = (np.asarray(b.column(c).to_numpy(zero_copy_only=False), float) for c in ("lat", "lon"))
-        row, leaf, own = place(unit_vectors(lat, lon), dim, cut_at, margin)
+        row, leaf, own = place(unit_vectors(lat, lon), splits, margin)
         part = b.take(pa.array(row))
         yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(own), *part.columns], ["leaf", "own", *b.schema.names])
 
@@ -195,11 +203,12 @@ def near_pairs(points: DataFrame, metres: float, sample: DataFrame | None = None
     n = rows if rows is not None else source.count()
     frac = min(1.0, SAMPLE_ROWS / max(n, 1))
     seen = (source if frac >= 1 else source.sample(frac, 17)).toPandas().to_numpy(float)
-    dim, cut_at = fit_splits(unit_vectors(seen[:, 0] * 1e-9, seen[:, 1] * 1e-9), max(1, min(-(-n // leaf_rows), SAMPLE_ROWS // 8)), chord(metres)) if len(seen) else (np.array([-1]), np.zeros(1))
+    leaves = max(1, min(-(-n // leaf_rows), SAMPLE_ROWS // 8))
+    splits = fit_splits(unit_vectors(seen[:, 0] * 1e-9, seen[:, 1] * 1e-9), leaves, chord(metres))
     positions = valid.groupBy("p_lat", "p_lon").agg(F.count(F.lit(1)).alias("n"))
     degrees = positions.select("p_lat", "p_lon", (F.lit(1e-9) * F.col("p_lat")).alias("lat"), (F.lit(1e-9) * F.col("p_lon")).alias("lon"))
     margin = chord(metres)
-    placed = degrees.mapInArrow(lambda it: _assign(it, dim, cut_at, margin), "leaf bigint, own boolean, p_lat bigint, p_lon bigint, lat double, lon double")
+    placed = degrees.mapInArrow(lambda it: _assign(it, splits, margin), "leaf bigint, own boolean, p_lat bigint, p_lon bigint, lat double, lon double")
     near = placed.groupBy("leaf").applyInPandas(lambda pdf: _join_leaf(pdf, metres), "a_lat bigint, a_lon bigint, b_lat bigint, b_lon bigint")
     twins = positions.filter("n > 1").select(F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"), F.col("p_lat").alias("b_lat"), F.col("p_lon").alias("b_lon"))
     a = valid.select(F.col("id").alias("i"), F.col("p_lat").alias("a_lat"), F.col("p_lon").alias("a_lon"))

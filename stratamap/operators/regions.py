@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bound on the sample that places the strips, rows a strip should hold, and points swept at once.
@@ -22,8 +22,6 @@ def ring_edges(vertices: DataFrame) -> DataFrame:
     Each vertex leads to the next by ``pos`` and the last one is expected to repeat the first. Vertical edges never
     cross a vertical ray and are left out, as are vertices with a null.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy("region").orderBy("pos")
     e = vertices.select("region", "pos", "x", "y").dropna().withColumns({"nx": F.lead("x").over(w), "ny": F.lead("y").over(w)}).filter("nx is not null and nx <> x")
     flip = F.col("x") > F.col("nx")

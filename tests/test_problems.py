@@ -216,8 +216,9 @@ def test_kd_pairs_are_complete(points, radius):
 def test_placement_covers_the_margin():
     r = np.random.default_rng(5)
     xyz = near.unit_vectors(r.uniform(-90, 90, 500), r.uniform(-180, 180, 500))
-    dim, cut = near.fit_splits(xyz, 16, 1e-3)
-    row, leaf, own = near.place(xyz, dim, cut, 0.05)
+    splits = near.fit_splits(xyz, 16, 1e-3)
+    assert (splits.dim < 0).sum() == 16
+    row, leaf, own = near.place(xyz, splits, 0.05)
     assert own.sum() == 500 and (np.bincount(row) >= 1).all()
     home = dict(zip(row[own], leaf[own]))
     held = set(zip(row.tolist(), leaf.tolist()))
@@ -225,3 +226,14 @@ def test_placement_covers_the_margin():
         for j in np.flatnonzero(np.sqrt(((xyz - xyz[i]) ** 2).sum(axis=1)) <= 0.05):
             assert (int(j), int(home[i])) in held
     assert math.isclose(near.chord(20.0), 20 / near.EARTH_M, rel_tol=1e-5)
+
+
+def test_splits_of_skewed_samples_stay_small():
+    r = np.random.default_rng(6)
+    spread = near.unit_vectors(r.uniform(-90, 90, 2000), r.uniform(-180, 180, 2000))
+    chain = near.unit_vectors(np.repeat(45.0, 2000), np.geomspace(1e-4, 100, 2000))
+    for xyz in (np.concatenate([spread, np.repeat(spread[:1], 1000, axis=0)]), chain, np.repeat(spread[:1], 50, axis=0), np.empty((0, 3))):
+        splits = near.fit_splits(xyz, 500, 1e-9)
+        assert len(splits.dim) < 1000
+        row, _, own = near.place(xyz, splits, 1e-9)
+        assert own.sum() == len(xyz) and len(row) < 1.1 * len(xyz) + 1
