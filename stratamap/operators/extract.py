@@ -15,6 +15,8 @@ T = TypeVar("T")
 
 #: Zones up to which pruning by id ranges is tried; more would not fit the driver's list of offsets.
 MAX_ZONES = 1_000_000
+#: Blobs that may be named in a scan's options; where more are hit, pruning gains little anyway.
+MAX_OFFSETS = 100_000
 
 
 def count_by_kind(elements: DataFrame) -> DataFrame:
@@ -90,7 +92,7 @@ def ways_and_deps(ways: DataFrame, nodes: DataFrame, predicate: Column) -> DataF
 
 
 def zones_hit(zones: DataFrame, ids: DataFrame, limit: int = MAX_ZONES) -> list[tuple[str, int]] | None:
-    """Blobs whose node id range holds any of ``ids``; None where there are too many zones to hold.
+    """Blobs whose node id range holds any of ``ids``; None where there are too many zones or hits to hold.
 
     The sorted ranges are sent to the tasks (at most ``limit`` of them); each task finds the ranges its ids fall
     in by binary search. Ranges may overlap.
@@ -101,12 +103,10 @@ def zones_hit(zones: DataFrame, ids: DataFrame, limit: int = MAX_ZONES) -> list[
     rows.sort(key=lambda r: r.min_id)
     if not rows:
         return []
-    low, high = np.array([r.min_id for r in rows]), np.array([r.max_id for r in rows])
-    reach = np.maximum.accumulate(high)
-    shared = ids.sparkSession.sparkContext.broadcast((low, high, reach))
+    shared = ids.sparkSession.sparkContext.broadcast((np.array([r.min_id for r in rows]), np.array([r.max_id for r in rows])))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low, high, reach = shared.value
+        low, high = shared.value
         hit = np.zeros(len(low), bool)
         for b in batches:
             x = np.unique(b.column(0).drop_null().to_numpy())
@@ -118,5 +118,7 @@ def zones_hit(zones: DataFrame, ids: DataFrame, limit: int = MAX_ZONES) -> list[
             hit[ok] |= x[at[ok]] <= high[ok]
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(hit))], ["zone"])
 
-    found = ids.mapInArrow(find, "zone bigint").distinct().collect()
+    found = ids.mapInArrow(find, "zone bigint").distinct().limit(MAX_OFFSETS + 1).collect()
+    if len(found) > MAX_OFFSETS:
+        return None
     return sorted((rows[r.zone].path, rows[r.zone].blob_offset) for r in found)
