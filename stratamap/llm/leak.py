@@ -16,6 +16,8 @@ PASSAGE, ONE_IN, SEED = 20, 10, 5
 MIN_SEEDS = (PASSAGE - SEED + 1) - SEED * (PASSAGE // ONE_IN)
 #: Symbols of one shard, and the distance of sampled suffix positions.
 SHARD, SAMPLE = 1_500_000, 8
+#: Starts and diagonals aligned at once, and the cost of what cannot be.
+STARTS, NEVER = 4096, 1 << 40
 #: Test items are sent to every task; more words than this are refused.
 MAX_ITEM_WORDS = 5_000_000
 
@@ -178,63 +180,66 @@ class Items:
         self.start = np.append(0, np.cumsum(np.bincount(kind, minlength=len(self.seeds)))) if len(flat) else np.zeros(1, np.int64)
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Word edit distance of two short gaps."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    if len(a) * len(b) > 400:
-        return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        before, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
-    return row[-1]
+def passages(doc: np.ndarray, item: np.ndarray, i0: np.ndarray, d0: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(words of the item, edits, first and last word in the document) of the accepted passages around the seeds.
+
+    A passage begins and ends with a word of the item that stands in the text, spans PASSAGE or more words of the
+    item and has at most one edit in ten of them. Every place where an exact run begins, on the seeds' diagonals or
+    so many beside them as a passage may have edits, is a start; words before it could only prolong the passage.
+    """
+    m = len(item)
+    band = m // ONE_IN
+    pad = m + 2 * band
+    padded = np.concatenate([np.zeros(pad, np.int64), doc, np.zeros(pad + 2 * band, np.int64)])
+    diags = np.unique((np.unique(d0 - i0)[:, None] + np.arange(-band, band + 1)).ravel())
+    rows = np.lib.stride_tricks.sliding_window_view(padded, m)
+    out: list[tuple[int, int, int, int]] = []
+    for at in range(0, len(diags), STARTS):
+        some = diags[at : at + STARTS]
+        eq = rows[pad + some] == item
+        eq[:, 1:] &= ~eq[:, :-1]
+        r, si = np.nonzero(eq[:, : m - PASSAGE + 1])
+        for cut in range(0, len(r), STARTS):
+            i = si[cut : cut + STARTS]
+            out += _align(padded, pad, item, i, some[r[cut : cut + STARTS]] + i, band)
+    return out
 
 
-def longest_passage(doc: np.ndarray, item: np.ndarray, i0: np.ndarray, d0: np.ndarray) -> tuple[int, int, int, int]:
-    """(words of the item, edits, first and last word in the document) of the best passage around the seeds.
+def _align(padded: np.ndarray, pad: int, item: np.ndarray, si: np.ndarray, sd: np.ndarray, band: int) -> list[tuple[int, int, int, int]]:
+    """Word alignment of all starts (si, sd) at once, one word of the item a step, in a band around each diagonal.
 
-    Exact runs near the seeds' diagonals are chained in order; the words between two runs cost their edit
-    distance. The longest chain with at most one edit in ten words wins.
+    The band holds every alignment that one edit in ten words allows. Of each start the passage with most words
+    of the item is given, and the one that reaches farthest in the document where that is another.
     """
-    runs: list[tuple[int, int, int]] = []
-    for diag in np.unique(d0 - i0):
-        near = i0[d0 - i0 == diag]
-        lo, hi = max(0, int(near.min()) - 60, -diag), min(len(item), int(near.max()) + SEED + 60, len(doc) - diag)
-        if hi <= lo:
-            continue
-        eq = np.append(np.append(False, item[lo:hi] == doc[lo + diag : hi + diag]), False).astype(np.int8)
-        step = np.diff(eq)
-        for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1)):
-            if b - a >= 2:
-                runs.append((int(lo + a), int(lo + a + diag), int(b - a)))
-    runs = sorted(set(runs))
-    best = (0, 0, -1, -1)
-    for s, (si, sd, sn) in enumerate(runs):
-        cost = {s: (0, si + sn, sd + sn)}
-        for e in range(s, len(runs)):
-            ei, ed, en = runs[e]
-            if e != s:
-                top = None
-                for p, (c, pi, pd) in cost.items():
-                    shift = max(0, pi - ei, pd - ed)
-                    if shift >= en:
-                        continue
-                    gi, gd = ei + shift - pi, ed + shift - pd
-                    if max(gi, gd) > 6:
-                        continue
-                    total = c + _edits(item[pi : pi + gi], doc[pd : pd + gd])
-                    if top is None or total < top:
-                        top = total
-                if top is None:
-                    continue
-                cost[e] = (top, ei + en, ed + en)
-            c, pi, pd = cost[e]
-            span = pi - si
-            if span >= PASSAGE and c * ONE_IN <= span and span > best[0]:
-                best = (span, c, sd, pd)
-    return best
+    m, shift = len(item), np.arange(2 * band + 1)
+    ends = np.concatenate([item, np.full(m, -1, np.int64)])
+    doc = np.lib.stride_tricks.sliding_window_view(padded, len(shift))
+    cost = np.tile(np.where(shift >= band, shift - band, NEVER), (len(si), 1))
+    most, far = np.zeros((len(si), 3), np.int64), np.full((len(si), 3), -1, np.int64)
+    open_, first = np.arange(len(si)), sd
+    for t in range(1, m):
+        eq = doc[pad + sd + t - band] == ends[si + t][:, None]
+        if t + 1 >= PASSAGE:
+            ok = eq & (cost * ONE_IN <= t + 1)
+            hit = np.flatnonzero(ok.any(axis=1))
+            if len(hit):
+                held = np.where(ok[hit], cost[hit], NEVER)
+                k = held.argmin(axis=1)
+                most[open_[hit]] = np.stack([np.full(len(hit), t + 1), held[np.arange(len(hit)), k], sd[hit] + t + k - band], axis=1)
+                k = 2 * band - ok[hit][:, ::-1].argmax(axis=1)
+                last = sd[hit] + t + k - band
+                more = last >= far[open_[hit], 2]
+                far[open_[hit[more]]] = np.stack([np.full(len(hit), t + 1), held[np.arange(len(hit)), k], last], axis=1)[more]
+        step = cost + ~eq
+        np.minimum(step[:, :-1], cost[:, 1:] + 1, out=step[:, :-1])
+        cost = np.minimum.accumulate(step - shift, axis=1) + shift
+        live = (cost.min(axis=1) * ONE_IN <= m - si) & (si + t + 1 < m)
+        if not live.all():
+            open_, si, sd, cost = open_[live], si[live], sd[live], cost[live]
+            if not len(open_):
+                break
+    found = [(int(n), int(c), int(a), int(b)) for (n, c, b), a in zip(most, first) if n]
+    return found + [(int(n), int(c), int(a), int(b)) for (n, c, b), a, e in zip(far, first, most[:, 2]) if b > e]
 
 
 def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]:
@@ -272,9 +277,9 @@ def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]
     out = []
     for part in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []:
         d, it = int(doc[part[0]]), int(item[part[0]])
-        span, edits, a, b = longest_passage(docs[d], items.words[it], ipos[part], dpos[part] - start[d])
-        if span:
-            out.append((keys[d], items.ids[it], span, edits, a, b))
+        all_of = passages(docs[d], items.words[it], ipos[part], dpos[part] - start[d])
+        if all_of:
+            out.append((keys[d], items.ids[it], *max(all_of, key=lambda p: (p[0], -p[1], -p[2]))))
     return out
 
 

@@ -64,6 +64,29 @@ def test_dresses(spark):
     assert got == {(i, 7) for i in range(len(yes))}
 
 
+def edited(words, kind, at):
+    return words[:at] + (["zebra"] if kind != "dropped" else []) + words[at + (kind != "added") :]
+
+
+def scanned(texts, item):
+    items = leak.Items([(7, "", " ".join(item))])
+    docs = [np.array([items.vocabulary.get(x.encode(), 0) for x in ["zebra"] * 5 + t + ["zebra"] * 5], np.int64) for t in texts]
+    return leak._scan_shard(list(range(len(texts))), docs, items)
+
+
+def test_twenty_words_with_one_or_two_edits_at_every_place():
+    item = [f"word{i}x" for i in range(60)]
+    part, kinds = item[10:30], ("changed", "dropped", "added")
+    one = [edited(part, k, i) for k in kinds for i in range(1, 20 if k == "added" else 19)]
+    two = [edited(edited(part, k, i), q, j) for k in kinds for q in kinds for i in range(2, 20 if k == "added" else 19) for j in range(1, i)]
+    got = scanned(one + two, item)
+    assert [r[0] for r in got] == list(range(len(one + two))) and {r[2] for r in got} == {20}
+    assert {r[3] for r in got[: len(one)]} == {1} and {r[3] for r in got[len(one) :]} <= {1, 2}  # a word dropped beside one added is one changed
+    assert {(r[4], r[5] - len(t)) for r, t in zip(got, one + two)} == {(5, 4)}
+    three = [edited(edited(edited(part, "changed", a), "changed", b), "changed", c) for a, b, c in ((5, 10, 15), (1, 2, 3), (16, 17, 18))]
+    assert scanned([*three, part[:19], part[1:], edited(part, "changed", 0), edited(part, "changed", 19)], item) == []
+
+
 def test_items_without_use(spark):
     assert found(spark, [around(" ".join(ITEM))], [(1, None, None), (2, "", ""), (3, "", "too short"), (4, None, " ".join(ITEM)), (None, "", " ".join(ITEM))]) == {(0, 4)}
 
