@@ -27,14 +27,27 @@ def last_received(updates: DataFrame, key: str, version: str, start: str, receiv
 def _merge(batches: Iterator[pa.RecordBatch], payload: tuple[str, ...], collapse: bool) -> Iterator[pa.RecordBatch]:
     """Walk the sorted stream once and close each version by its successor; only one row is carried along."""
     pending: pa.Table | None = None
+    block = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch]) if pending is None else pa.concat_tables([pending, pa.Table.from_batches([batch])])
-        if collapse and payload:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        if collapse:
+            rows = rows.append_column("first", pa.array(_opens(rows, block)))
+            block = rows["k"][-1].as_py(), rows["b"][-1].as_py()
+        rows = rows if pending is None else pa.concat_tables([pending, rows])
+        if collapse:
             rows = rows.filter(pa.array(_changes(rows, payload)))
         pending = rows.slice(max(rows.num_rows - 1, 0))
-        yield from _closed(rows, rows.num_rows - 1)
+        yield from _closed(rows, rows.num_rows - 1, collapse)
     if pending is not None and pending.num_rows:
-        yield from _closed(pending, 1)
+        yield from _closed(pending, 1, collapse)
+
+
+def _opens(rows: pa.Table, block: tuple[int, int] | None) -> np.ndarray:
+    """True where a row is the first of its entity's block; ``block`` is that of the row before."""
+    k, b = rows["k"].to_numpy(), rows["b"].to_numpy()
+    return np.append((k[0], b[0]) != block, (k[1:] != k[:-1]) | (b[1:] != b[:-1]))
 
 
 def _changes(rows: pa.Table, payload: Sequence[str]) -> np.ndarray:
@@ -51,8 +64,11 @@ def _changes(rows: pa.Table, payload: Sequence[str]) -> np.ndarray:
     return keep | rows["head"].to_numpy()
 
 
-def _closed(rows: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
-    """The first n rows with their end; a head of the next block closes its predecessor and is itself dropped."""
+def _closed(rows: pa.Table, n: int, edges: bool) -> Iterator[pa.RecordBatch]:
+    """The first n rows with their end; a head of the next block closes its predecessor and is itself dropped.
+
+    With ``edges`` rows keep their block and tell whether they are the first and the last of it.
+    """
     if n <= 0:
         return
     k, s = rows["k"].to_numpy(), rows["s"].to_numpy()
@@ -61,16 +77,37 @@ def _closed(rows: pa.Table, n: int) -> Iterator[pa.RecordBatch]:
     m = min(n, rows.num_rows - 1)
     same = (k[1 : m + 1] == k[:m]) & (b[1 : m + 1] == b[:m])
     end[:m][same] = s[1 : m + 1][same]
-    out = rows.slice(0, n).append_column("valid_to", pa.array(end)).filter(pa.array(~head[:n])).drop_columns(["b", "head"])
+    out = rows.slice(0, n).append_column("valid_to", pa.array(end))
+    if edges:
+        last = np.ones(n, bool)
+        last[:m] = ~same | head[1 : m + 1]
+        out = out.append_column("last", pa.array(last))
+    out = out.filter(pa.array(~head[:n])).drop_columns(["head"] if edges else ["b", "head"])
     yield from out.to_batches()
 
 
+def _joined(runs: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """Runs that go on in the entity's next block as one: the opening row there is dropped and its end passed on.
+
+    Only the first and the last row of a block meet in the entity's window, the others keep to their block.
+    """
+    cell = ["k", "cell"]
+    w = Window.partitionBy(*cell).orderBy("v")
+    on = F.col("first") & F.lag(F.lit(True), 1, False).over(w)
+    for c in payload:
+        on = on & F.col(c).eqNullSafe(F.lag(c).over(w))
+    out = runs.withColumn("cell", F.when(~(F.col("first") | F.col("last")), F.col("b"))).withColumn("on", on)
+    out = out.withColumn("run", F.sum(F.when(F.col("on"), 0).otherwise(1)).over(w))
+    out = out.withColumn("valid_to", F.max_by("valid_to", "v").over(Window.partitionBy(*cell, "run")))
+    return out.filter(~F.col("on")).select("k", "v", "s", *payload, "valid_to")
+
+
 def validity_periods(versions: DataFrame, payload: Sequence[str] = (), collapse: bool = False, block: int = BLOCK) -> DataFrame:
     """Full history ``k, v, s, payload.., valid_to`` of deduplicated versions ``k bigint, v bigint, s bigint``.
 
     A version is valid from ``s`` to the ``s`` of the next higher version of its entity, -1 if there is none.
-    With ``collapse`` a version whose payload equals the one before it prolongs that one instead
-    (runs are collapsed within blocks of ``block`` version numbers; a block always opens a version).
+    With ``collapse`` a version whose payload equals the one before it prolongs that one instead: runs are
+    collapsed within blocks of ``block`` version numbers, then joined where they go on in the next block.
 
     Versions are co-partitioned by entity and block of version numbers and sorted inside each partition; an
     iterator merges them with the first row of the entity's next block, so a history of any length passes
@@ -87,6 +124,8 @@ def validity_periods(versions: DataFrame, payload: Sequence[str] = (), collapse:
     names = tuple(payload)
     ordered = both.repartition("k", "b").sortWithinPartitions("k", "b", "v")
     kinds = dict(rows.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in ("k", "v", "s", *names)] + ["valid_to bigint"])
+    collapse = collapse and bool(names)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in ("k", "v", "s", *names)] + (["b bigint", "first boolean", "valid_to bigint", "last boolean"] if collapse else ["valid_to bigint"]))
     picked = ordered.select("k", "v", "s", *names, "b", "head")
-    return picked.mapInArrow(lambda it: _merge(it, names, collapse), schema)
+    out = picked.mapInArrow(lambda it: _merge(it, names, collapse), schema)
+    return _joined(out, names) if collapse else out

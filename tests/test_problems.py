@@ -177,6 +177,27 @@ def test_collapsed_history(spark):
     assert sorted(map(tuple, got), key=str) == sorted([(1, 10, "a", 30), (1, 30, None, 50), (1, 50, "a", -1), (2, 5, "a", -1)], key=str)
 
 
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_runs_go_on_across_blocks(spark, block):
+    r = np.random.default_rng(2)
+    rows = [(k, v, int(r.integers(1000)), None if p == 2 else p) for k in range(6) for v in r.permutation(12000 if k == 0 else 40)[: 300 if k == 0 else 25].tolist() for p in [int(r.integers(3)) if k % 2 else int(v > 9000)]]
+    want = []
+    for k, v, s, p in sorted(rows, key=lambda x: x[:2]):
+        if want and want[-1][0] == k and want[-1][3] == p:
+            continue
+        if want and want[-1][0] == k:
+            want[-1][4] = s
+        want.append([k, v, s, p, -1])
+    d = spark.createDataFrame(rows, "k bigint, v bigint, s bigint, p int")
+    got = history.validity_periods(d, ["p"], collapse=True, block=block).select("k", "v", "s", "p", "valid_to").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
+
+
+def test_a_long_history_of_one_visibility_is_one_run(spark):
+    d = spark.range(1, 100001).select(F.lit(5).cast("bigint").alias("k"), F.col("id").alias("v"), (F.col("id") * 2).alias("s"), F.lit(True).alias("vis"))
+    assert list(map(tuple, history.validity_periods(d, ["vis"], collapse=True).select("k", "v", "s", "vis", "valid_to").collect())) == [(5, 1, 2, True, -1)]
+
+
 # --- near ------------------------------------------------------------------------------------------
 
 
