@@ -56,8 +56,8 @@ def pivot_wide(rows: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str
     """One row per entity with a text column per attribute (canonical, see ``cast_text``), null where none fits.
 
     One conditional aggregation per attribute: of several rows for one cell the first by ``order`` whose value
-    fits wins, ties by the smaller text. Attributes out of the list, null attributes, values and orders are
-    ignored; entities without any fitting value still get their row if they have any attribute row.
+    fits wins, ties by the smaller text. Attributes out of the list, null attributes, values and orders fill
+    no cell; entities without any fitting value still get their row if they have any attribute row.
     """
     cells = [
         F.min(F.when((F.col(attr) == a) & F.col(order).isNotNull() & fits.isNotNull(), F.struct(F.col(order).alias("o"), fits.alias("t")))).alias(f"_{i}")
@@ -65,7 +65,7 @@ def pivot_wide(rows: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str
         for fits in [F.col(f"_fit_{k}")]
     ]
     kinds = sorted({k for _, k in attrs})
-    prepared = rows.filter(F.col(attr).isin([a for a, _ in attrs])).withColumns({f"_fit_{k}": F.when(F.col(attr).isin([a for a, kk in attrs if kk == k]), cast_text(F.col(value), k)) for k in kinds})
+    prepared = rows.withColumns({f"_fit_{k}": F.when(F.col(attr).isin([a for a, kk in attrs if kk == k]), cast_text(F.col(value), k)) for k in kinds})
     if not cells:
         return rows.select(*entity).distinct()
     out = prepared.groupBy(*entity).agg(*cells)

@@ -67,22 +67,25 @@ def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("k").alias("id"), F.col("v").cast("int").alias("first_version"), F.col("s").alias("valid_from"), "valid_to", F.col("vis").alias("is_visible"))
 
 
-def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, list[tuple[str, str]]]:
+def _wide(spark: SparkSession, d: str, empty: bool) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """The wide text table; with ``empty`` tagged elements that have no listed attribute keep a row."""
     attrs = wide.discover(table(spark, d, "attr_types"))
-    elements = present_elements(table(spark, d, "dense_nodes"), table(spark, d, "ways"), table(spark, d, "string_tables"), [a for a, _ in attrs])
-    rows = elements.select("elem_kind", "id", F.explode("tags").alias("t")).select("elem_kind", "id", F.col("t.key").alias("attr"), "t.value", "t.pos")
+    names = [a for a, _ in attrs]
+    elements = present_elements(table(spark, d, "dense_nodes"), table(spark, d, "ways"), table(spark, d, "string_tables"), None if empty else names)
+    tags = F.explode_outer(F.filter("tags", lambda t: t["key"].isin(names))) if empty else F.explode("tags")
+    rows = elements.filter(F.size("tags") > 0).select("elem_kind", "id", tags.alias("t")).select("elem_kind", "id", F.col("t.key").alias("attr"), "t.value", "t.pos")
     return wide.pivot_wide(rows, ["elem_kind", "id"], attrs), attrs
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The filled cells of the wide table of present elements."""
-    text, attrs = _wide(spark, d)
+    text, attrs = _wide(spark, d, empty=False)
     return wide.cells(text, ["elem_kind", "id"], attrs)
 
 
 def p6_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per present element that has any listed attribute, with typed columns."""
-    text, attrs = _wide(spark, d)
+    """One row per present element that has any tag, with typed columns, all null where no listed attribute fits."""
+    text, attrs = _wide(spark, d, empty=True)
     return wide.typed(text, ["elem_kind", "id"], attrs)
 
 

@@ -105,6 +105,11 @@ def test_wide_cells(spark):
     assert (int(t.lanes), t.lit) == (3, True)
 
 
+def test_wide_keeps_entities_without_a_listed_attribute(spark):
+    rows = spark.createDataFrame([(1, "lanes", "2", 0), (1, "x", "y", 1), (2, "x", "y", 0), (3, None, None, None), (4, "lanes", "no", 0)], "e int, attr string, value string, pos int")
+    assert sorted(map(tuple, wide.pivot_wide(rows, ["e"], [("lanes", "int")]).collect())) == [(1, "2"), (2, None), (3, None), (4, None)]
+
+
 def test_wide_refuses_bad_lists(spark):
     with pytest.raises(ValueError, match="unknown"):
         wide.discover(spark.createDataFrame([("a", "colour")], "attr string, attr_type string"))
