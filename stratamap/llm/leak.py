@@ -277,9 +277,11 @@ def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]
     out = []
     for part in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []:
         d, it = int(doc[part[0]]), int(item[part[0]])
-        all_of = passages(docs[d], items.words[it], ipos[part], dpos[part] - start[d])
-        if all_of:
-            out.append((keys[d], items.ids[it], *max(all_of, key=lambda p: (p[0], -p[1], -p[2]))))
+        last = -1
+        for p in sorted(set(passages(docs[d], items.words[it], ipos[part], dpos[part] - start[d])), key=lambda p: (p[2], -p[3], -p[0], p[1])):
+            if p[3] > last:  # else it lies within one before
+                last = p[3]
+                out.append((keys[d], items.ids[it], *p))
     return out
 
 
@@ -317,8 +319,8 @@ def _scan(batches: Iterator[pa.RecordBatch], key: str, text: str, items: Items,
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document and item where the text holds 20 or more successive words of the item after its opening.
 
-    ``doc_id, item_id, n_words, n_edits, first_word, last_word``: the longest passage and its words in the
-    document. Markup, citations, comment signs, case, punctuation, line breaks and letter variants do not
+    ``doc_id, item_id, n_words, n_edits, first_word, last_word``: every passage and its words in the document,
+    but for passages that lie within another one of the same item. Markup, citations, comment signs, case, punctuation, line breaks and letter variants do not
     count, and one word in ten may be changed, dropped or added. Null and empty texts, items without text or
     with fewer than 20 words give nothing; repeated keys each give their rows.
 
@@ -336,3 +338,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     kind = dict(docs.dtypes)[key]
     arrow = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("n_edits", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
     return docs.select(key, text).mapInArrow(lambda it: _scan(it, key, text, shared.value, arrow), f"{key} {kind}, item_id bigint, n_words bigint, n_edits bigint, first_word bigint, last_word bigint")
+
+
+def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Removal spans ``key, first_word, last_word, n_items`` of each document: its overlapping passages as one.
+
+    Words are counted from 0 as in ``find_leaks``, both ends included. Passages that share no word stay apart, also
+    side by side; ``n_items`` is the number of test items in a span. Passages of a null key have no document and
+    are dropped; documents that repeat a key must be told apart beforehand.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    w = Window.partitionBy(key).orderBy("first_word", "last_word")
+    before = F.max("last_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("first_word") > before), 1).otherwise(0)
+    runs = spans.filter(F.col(key).isNotNull()).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w))
+    out = runs.groupBy(key, "_run").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.count_distinct("item_id").alias("n_items"))
+    return out.select(key, "first_word", "last_word", "n_items")

@@ -57,7 +57,7 @@ def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The longest passage of each test item in each document, with its place in words."""
+    """The passages of each test item in each document, with their places in words."""
     return leak.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
@@ -66,6 +66,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
+def p8_removal(spark: SparkSession, d: str) -> DataFrame:
+    """Spans of words to remove from each document: its passages of all test items, merged where they overlap."""
+    return leak.merge_spans(p8_spans(spark, d))
+
+
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
     """Score and verdict of every document."""
     return abuse.score_documents(spread(table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "content_labels"))
@@ -81,4 +86,4 @@ def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates_by_source(p9_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p9_found, p9_scores, p9_rates, p2_found, p2_top, p5_found, p5_pairs, p7_ids, p7_offsets)}
+QUERIES = {f.__name__: f for f in (p8_found, p8_spans, p8_removal, p9_found, p9_scores, p9_rates, p2_found, p2_top, p5_found, p5_pairs, p7_ids, p7_offsets)}

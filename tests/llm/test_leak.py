@@ -87,6 +87,21 @@ def test_twenty_words_with_one_or_two_edits_at_every_place():
     assert scanned([*three, part[:19], part[1:], edited(part, "changed", 0), edited(part, "changed", 19)], item) == []
 
 
+def test_every_passage_of_a_pair_is_given():
+    item = [f"word{i}x" for i in range(60)]
+    gap = ["zebra"] * 7
+    got = scanned([item[:25] + gap + item[30:55], (item[5:30] + gap) * 50], item)
+    assert [r[2:] for r in got if r[0] == 0] == [(25, 0, 5, 29), (25, 0, 37, 61)]
+    assert [r[2:] for r in got if r[0] == 1] == [(25, 0, 5 + 32 * i, 29 + 32 * i) for i in range(50)]
+
+
+def test_removal_spans(spark):
+    rows = [(1, 7, 0, 30), (1, 8, 10, 20), (1, 8, 25, 50), (1, 7, 50, 60), (1, 9, 61, 90), (2, 7, 5, 30), (None, 7, 1, 30)]
+    d = spark.createDataFrame(rows, "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
+    assert sorted(map(tuple, leak.merge_spans(d).collect())) == [(1, 0, 60, 2), (1, 61, 90, 1), (2, 5, 30, 1)]
+    assert leak.merge_spans(d.limit(0)).count() == 0
+
+
 def test_items_without_use(spark):
     assert found(spark, [around(" ".join(ITEM))], [(1, None, None), (2, "", ""), (3, "", "too short"), (4, None, " ".join(ITEM)), (None, "", " ".join(ITEM))]) == {(0, 4)}
 
