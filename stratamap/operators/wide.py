@@ -30,19 +30,22 @@ def discover(attr_types: DataFrame) -> list[tuple[str, str]]:
     return sorted((r.attr, r.t) for r in rows)
 
 
-def cast_text(value: Column, kind: str) -> Column:
-    """The canonical text of a value if it fits the type, else null. Blanks and tabs around it do not count."""
+def cast_text(value: Column, kind: str, bounded: bool = True) -> Column:
+    """The canonical text of a value if it fits the type, else null. Blanks and tabs around it do not count.
+
+    ``bounded`` numbers fit decimal(38), others have any number of digits.
+    """
     v = F.btrim(value, F.lit(" \t"))
     if kind == "string":
         return F.when(v != "", v)
     if kind == "int":
         digits = F.regexp_replace(F.regexp_extract(v, r"^[+-]?([0-9]+)$", 1), r"^0+(?=[0-9])", "")
         text = F.when(v.startswith("-") & (digits != "0"), F.concat(F.lit("-"), digits)).otherwise(digits)
-        return F.when((digits != "") & (F.length(digits) <= 38), text)
+        return F.when((digits != "") & (F.length(digits) <= 38 if bounded else F.lit(True)), text)
     if kind == "decimal":
         whole = F.regexp_replace(F.regexp_extract(v, r"^([0-9]+)(?:[.,][0-9]{1,2})?(?: ?m)?$", 1), r"^0+(?=[0-9])", "")
         part = F.regexp_extract(v, r"^[0-9]+[.,]([0-9]{1,2})(?: ?m)?$", 1)
-        return F.when((whole != "") & (F.length(whole) <= 36), F.concat(whole, F.lit("."), F.rpad(part, 2, "0")))
+        return F.when((whole != "") & (F.length(whole) <= 36 if bounded else F.lit(True)), F.concat(whole, F.lit("."), F.rpad(part, 2, "0")))
     if kind == "bool":
         low = F.lower(v)
         return F.when(low.isin(*TRUE), "true").when(low.isin(*FALSE), "false")
@@ -65,7 +68,7 @@ def pivot_wide(rows: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str
         for fits in [F.col(f"_fit_{k}")]
     ]
     kinds = sorted({k for _, k in attrs})
-    prepared = rows.withColumns({f"_fit_{k}": F.when(F.col(attr).isin([a for a, kk in attrs if kk == k]), cast_text(F.col(value), k)) for k in kinds})
+    prepared = rows.withColumns({f"_fit_{k}": F.when(F.col(attr).isin([a for a, kk in attrs if kk == k]), cast_text(F.col(value), k, bounded=False)) for k in kinds})
     if not cells:
         return rows.select(*entity).distinct()
     out = prepared.groupBy(*entity).agg(*cells)
@@ -73,8 +76,8 @@ def pivot_wide(rows: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str
 
 
 def typed(wide: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str, str]]) -> DataFrame:
-    """The wide table with typed columns."""
-    return wide.select(*entity, *[F.col(f"`{a}`").cast(SPARK_TYPES[k]).alias(a) for a, k in attrs])
+    """The wide table with typed columns; a number of more digits than decimal(38) holds is null."""
+    return wide.select(*entity, *[F.col(f"`{a}`").try_cast(SPARK_TYPES[k]).alias(a) for a, k in attrs])
 
 
 def cells(wide: DataFrame, entity: Sequence[str], attrs: Sequence[tuple[str, str]]) -> DataFrame:

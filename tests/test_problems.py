@@ -110,6 +110,14 @@ def test_wide_keeps_entities_without_a_listed_attribute(spark):
     assert sorted(map(tuple, wide.pivot_wide(rows, ["e"], [("lanes", "int")]).collect())) == [(1, "2"), (2, None), (3, None), (4, None)]
 
 
+def test_long_numbers_fill_their_cell(spark):
+    rows = spark.createDataFrame([(1, "n", "-0" + "9" * 60, 0), (1, "n", "2", 1), (1, "w", "8" * 50 + ",5", 0), (2, "n", "9" * 38, 0)], "e int, attr string, value string, pos int")
+    attrs = [("n", "int"), ("w", "decimal")]
+    text = wide.pivot_wide(rows, ["e"], attrs)
+    assert sorted(map(tuple, text.collect())) == [(1, "-" + "9" * 60, "8" * 50 + ".50"), (2, "9" * 38, None)]
+    assert sorted((r.e, r.n and int(r.n), r.w) for r in wide.typed(text, ["e"], attrs).collect()) == [(1, None, None), (2, int("9" * 38), None)]
+
+
 def test_wide_refuses_bad_lists(spark):
     with pytest.raises(ValueError, match="unknown"):
         wide.discover(spark.createDataFrame([("a", "colour")], "attr string, attr_type string"))
