@@ -44,15 +44,17 @@ def p3_found(spark: SparkSession, d: str, metres: float = 20.0) -> DataFrame:
     return near.near_pairs(points, metres, sample=stored, rows=input_rows(table(spark, d, "dense_nodes")))
 
 
-def _versions(spark: SparkSession, d: str) -> DataFrame:
-    rows = with_blob_params(table(spark, d, "node_updates").select("file_path", "blob_offset", "id", "info_version", "info_timestamp", "info_visible", "info_changeset", "received_at"), table(spark, d, "blobs"), ["date_granularity"])
-    timed = rows.withColumn("ms", F.expr("try_multiply(date_granularity, info_timestamp)")).withColumn("vis", visible(F.col("info_visible")))
-    return history.last_received(timed, "id", "info_version", "ms", "received_at", ["vis", "info_changeset"])
+def _periods(spark: SparkSession, d: str, payload: list[str], collapse: bool = False) -> DataFrame:
+    """Validity periods of the update feed; the years of receipt are its periods."""
+    feed = table(spark, d, "node_updates")
+    rows = with_blob_params(feed.select("file_path", "blob_offset", "id", "info_version", "info_timestamp", "info_visible", "info_changeset", "received_at"), table(spark, d, "blobs"), ["date_granularity"])
+    timed = rows.withColumns({"ms": F.expr("try_multiply(date_granularity, info_timestamp)"), "vis": visible(F.col("info_visible"))})
+    return history.validity_periods(timed, "id", "info_version", "ms", "received_at", payload, collapse, period=F.year("received_at"), rows=input_rows(feed))
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every node with its period, deletions included."""
-    out = history.validity_periods(_versions(spark, d), ["vis", "info_changeset"])
+    out = _periods(spark, d, ["vis", "info_changeset"])
     return out.select(F.col("k").alias("id"), F.col("v").cast("int").alias("info_version"), F.col("s").alias("valid_from"), "valid_to", F.col("vis").alias("is_visible"), "info_changeset")
 
 
@@ -63,7 +65,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_runs(spark: SparkSession, d: str) -> DataFrame:
     """History collapsed on payload change: one row per run of versions with one visibility."""
-    out = history.validity_periods(_versions(spark, d).select("k", "v", "s", "vis"), ["vis"], collapse=True)
+    out = _periods(spark, d, ["vis"], collapse=True)
     return out.select(F.col("k").alias("id"), F.col("v").cast("int").alias("first_version"), F.col("s").alias("valid_from"), "valid_to", F.col("vis").alias("is_visible"))
 
 
@@ -149,7 +151,7 @@ WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) +
     "p4_history": _VERSIONS + "SELECT * FROM hist",
     "p4_found": _VERSIONS + "SELECT id, info_version, valid_from, valid_to FROM hist WHERE is_visible AND (valid_to = -1 OR valid_to > valid_from)",
     "p4_runs": _VERSIONS
-    + """, marked AS (SELECT *, CASE WHEN lag(is_visible) OVER w IS NOT DISTINCT FROM is_visible AND lag(info_version) OVER w IS NOT NULL AND lag(info_version) OVER w // 4096 = info_version // 4096 THEN 0 ELSE 1 END AS opens FROM hist WINDOW w AS (PARTITION BY id ORDER BY info_version))
+    + """, marked AS (SELECT *, CASE WHEN lag(is_visible) OVER w IS NOT DISTINCT FROM is_visible AND lag(info_version) OVER w IS NOT NULL THEN 0 ELSE 1 END AS opens FROM hist WINDOW w AS (PARTITION BY id ORDER BY info_version))
 SELECT id, info_version AS first_version, valid_from, CAST(coalesce(lead(valid_from) OVER (PARTITION BY id ORDER BY info_version), -1) AS BIGINT) AS valid_to, is_visible FROM marked WHERE opens = 1""",
     "p6_found": _CELLS + "SELECT elem_kind, id, attr, attr_text FROM (SELECT *, row_number() OVER (PARTITION BY elem_kind, id, attr ORDER BY pos) AS rn FROM typed WHERE attr_text IS NOT NULL) WHERE rn = 1",
 }

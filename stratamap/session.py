@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def build_session(app: str = "stratamap", cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -29,25 +31,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint.
+_LEFT: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, as all executors share it.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a local session without
-    that setting gets a temporary folder. Losing an executor later costs nothing: the files are shared.
+    Only a local session without that setting gets a temporary folder, which is removed at its end.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratamap-checkpoint-"))
-    return df.checkpoint()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if named is None:
+        if not _LEFT:
+            _LEFT.append(tempfile.mkdtemp(prefix="stratamap-shared-"))
+            atexit.register(shutil.rmtree, _LEFT[0], True)
+        return _LEFT[0]
+    return named
+
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name for an intermediate table in the shared folder; what stands there is removed when the driver ends."""
+    from stratamap.sources.files import Folder
 
-def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int = 32 << 20) -> DataFrame:
-    """Hint a broadcast only where rows * row_bytes, both known bounds, stay under the limit."""
-    return F.broadcast(df) if rows * row_bytes <= limit_bytes else df
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(Folder.remove, path)
+    return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder. Losing an executor later costs nothing."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
 
 
 def input_rows(df: DataFrame) -> int:

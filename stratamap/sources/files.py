@@ -86,6 +86,20 @@ class Folder:
         found = self.fs.get_file_info(fs.FileSelector(self.root, allow_not_found=True))
         return [f.base_name for f in found if f.type == fs.FileType.File]
 
+    def tree(self, name: str) -> list[str]:
+        """All files below a folder in it, none where there is no such folder; hidden files and markers are left out."""
+        found = self.fs.get_file_info(fs.FileSelector(self.at(name), allow_not_found=True, recursive=True))
+        return sorted(f.path for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._")
+
+    @classmethod
+    def remove(cls, path: str) -> None:
+        """Delete a folder with all in it, if it is there and can be deleted."""
+        try:
+            folder = cls(path)
+            folder.fs.delete_dir(folder.root)
+        except OSError:
+            pass
+
     def delete(self, name: str) -> None:
         self.fs.delete_file(self.at(name))
 

@@ -4,6 +4,8 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratamap.operators import history, near, orphans, wide
 from stratamap.operators.current import current_rows, dense_pairs, present_elements, present_ids, zip_pairs
+from stratamap.sources.files import Folder
 
 # --- orphans ---------------------------------------------------------------------------------------
 
@@ -159,39 +162,52 @@ def brute_history(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_history_against_brute_force(spark, block):
+PARTS = [15, 10**6]
+
+
+@pytest.mark.parametrize("part_rows", PARTS)
+def test_history_against_brute_force(spark, part_rows):
     r = np.random.default_rng(1)
     pick = lambda hi: None if r.random() < 0.05 else int(r.integers(hi))
     rows = [(0 if r.random() < 0.4 else pick(20), pick(15), pick(1000), pick(50), pick(3)) for _ in range(800)]
     rows += rows[:50]
-    d = spark.createDataFrame(rows, "id bigint, ver int, start bigint, got bigint, p int").withColumn("k", F.lit(1))
-    v = history.last_received(d, "id", "ver", "start", "got", ["p"])
-    assert sorted((tuple(x) for x in history.validity_periods(v, ["p"], block=block).select("k", "v", "s", "p", "valid_to").collect()), key=str) == brute_history(rows)
-    assert history.validity_periods(v.limit(0), ["p"]).count() == 0
+    d = spark.createDataFrame(rows, "id bigint, ver int, start bigint, got bigint, p int").withColumn("k", F.lit(1)).repartition(3)
+    for period in (None, F.col("got"), F.col("got") % 3):
+        got = history.validity_periods(d, "id", "ver", "start", "got", ["p"], period=period, part_rows=part_rows)
+        assert sorted((tuple(x) for x in got.select("k", "v", "s", "p", "valid_to").collect()), key=str) == brute_history(rows)
+    assert history.validity_periods(d.limit(0), "id", "ver", "start", "got", ["p"], part_rows=part_rows).count() == 0
+
+
+def test_history_merges_runs_batch_by_batch(spark, monkeypatch, tmp_path):
+    """Many runs read two rows at a time, with one version repeated over many batches and runs."""
+    rows = sorted((k, v, r, 10 * v + r) for k in range(3) for v in range(9) for r in range(7 if (k, v) != (1, 4) else 90))
+    for run in range(4):
+        (tmp_path / f"part=0/run={run}").mkdir(parents=True)
+        some = rows[run::4]
+        pq.write_table(pa.table(dict(zip("kvrs", zip(*some)))), tmp_path / f"part=0/run={run}/a.parquet")
+    store = Folder(str(tmp_path))
+    steps = list(history.merged(store, 0, 2))
+    assert [tuple(x.values()) for t in steps for x in t.to_pylist()] == [max(x for x in rows if x[:2] == (k, v)) for k in range(3) for v in range(9)]
+    assert max(t.num_rows for t in steps) <= 8 and list(history.merged(store, 1)) == []
 
 
 def test_history_of_one_hot_entity_spreads(spark):
-    d = spark.range(20000).select(F.lit(5).cast("bigint").alias("k"), F.col("id").alias("v"), (F.col("id") * 2).alias("s"))
-    got = history.validity_periods(d, block=1000)
+    d = spark.range(20000).select(F.lit(5).cast("bigint").alias("id"), F.col("id").alias("ver"), (F.col("id") * 2).alias("start"), F.lit(0).alias("got"))
+    got = history.validity_periods(d, "id", "ver", "start", "got", part_rows=1000)
     assert got.select(F.count("*"), F.sum((F.col("valid_to") == F.col("s") + 2).cast("int")), F.count_if(F.col("valid_to") == -1)).first()[:] == (20000, 19999, 1)
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        spread = history.validity_periods(d, block=1000).select(F.spark_partition_id().alias("p")).distinct().count()
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert spread > 1
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()[0] > 10
 
 
 def test_collapsed_history(spark):
     rows = [(1, 1, 10, "a"), (1, 2, 20, "a"), (1, 3, 30, None), (1, 4, 40, None), (1, 5, 50, "a"), (2, 1, 5, "a")]
-    d = spark.createDataFrame(rows, "k bigint, v bigint, s bigint, p string")
-    got = history.validity_periods(d, ["p"], collapse=True).select("k", "s", "p", "valid_to").collect()
-    assert sorted(map(tuple, got), key=str) == sorted([(1, 10, "a", 30), (1, 30, None, 50), (1, 50, "a", -1), (2, 5, "a", -1)], key=str)
+    d = spark.createDataFrame(rows, "id bigint, ver bigint, start bigint, p string").withColumn("got", F.lit(1))
+    for part_rows in (1, 2, 100):
+        got = history.validity_periods(d, "id", "ver", "start", "got", ["p"], collapse=True, part_rows=part_rows).select("k", "s", "p", "valid_to").collect()
+        assert sorted(map(tuple, got), key=str) == sorted([(1, 10, "a", 30), (1, 30, None, 50), (1, 50, "a", -1), (2, 5, "a", -1)], key=str)
 
 
-@pytest.mark.parametrize("block", [1, 3, 4096])
-def test_runs_go_on_across_blocks(spark, block):
+@pytest.mark.parametrize("part_rows", PARTS)
+def test_runs_go_on_across_parts(spark, part_rows):
     r = np.random.default_rng(2)
     rows = [(k, v, int(r.integers(1000)), None if p == 2 else p) for k in range(6) for v in r.permutation(12000 if k == 0 else 40)[: 300 if k == 0 else 25].tolist() for p in [int(r.integers(3)) if k % 2 else int(v > 9000)]]
     want = []
@@ -201,14 +217,14 @@ def test_runs_go_on_across_blocks(spark, block):
         if want and want[-1][0] == k:
             want[-1][4] = s
         want.append([k, v, s, p, -1])
-    d = spark.createDataFrame(rows, "k bigint, v bigint, s bigint, p int")
-    got = history.validity_periods(d, ["p"], collapse=True, block=block).select("k", "v", "s", "p", "valid_to").collect()
+    d = spark.createDataFrame(rows, "id bigint, ver bigint, start bigint, p int").withColumn("got", F.lit(1))
+    got = history.validity_periods(d, "id", "ver", "start", "got", ["p"], collapse=True, part_rows=part_rows).select("k", "v", "s", "p", "valid_to").collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, want), key=str)
 
 
 def test_a_long_history_of_one_visibility_is_one_run(spark):
-    d = spark.range(1, 100001).select(F.lit(5).cast("bigint").alias("k"), F.col("id").alias("v"), (F.col("id") * 2).alias("s"), F.lit(True).alias("vis"))
-    assert list(map(tuple, history.validity_periods(d, ["vis"], collapse=True).select("k", "v", "s", "vis", "valid_to").collect())) == [(5, 1, 2, True, -1)]
+    d = spark.range(1, 100001).select(F.lit(5).cast("bigint").alias("id"), F.col("id").alias("ver"), (F.col("id") * 2).alias("start"), F.lit(True).alias("vis"), F.lit(1).alias("got"))
+    assert list(map(tuple, history.validity_periods(d, "id", "ver", "start", "got", ["vis"], collapse=True, part_rows=9000).select("k", "v", "s", "vis", "valid_to").collect())) == [(5, 1, 2, True, -1)]
 
 
 # --- near ------------------------------------------------------------------------------------------
