@@ -31,50 +31,125 @@ def classes() -> np.ndarray:
     return table
 
 
+#: What the automaton reads: a character's class, for apostrophes with the length of the contraction that the next letters
+#: spell, for blanks whether they end their run before other text; and whether the character begins a text.
+WORD, DIGIT, SIGN, SHORT, LONG, BLANK, GAP, BREAK, SYMBOLS = *range(8), 8
+#: Its states: nothing open; inside a run of letters, numbers, signs or blanks; after a space that the next token takes
+#: along; before the last one or two letters of a contraction.
+START, IN_WORD, IN_DIGITS, IN_SIGNS, IN_BLANKS, AFTER_GAP, ONE_MORE, TWO_MORE, STATES = *range(8), 8
+
+
+def _step(state: int, symbol: int) -> tuple[int, bool]:
+    """Next state, and whether the character starts a pre-token."""
+    if state in (ONE_MORE, TWO_MORE):
+        return (START if state == ONE_MORE else ONE_MORE), False
+    if symbol in (GAP, BREAK):
+        return (AFTER_GAP if symbol == GAP else START), True
+    if symbol == BLANK:
+        return IN_BLANKS, state != IN_BLANKS
+    if symbol in (SHORT, LONG):
+        if state in (IN_SIGNS, AFTER_GAP):
+            return IN_SIGNS, False
+        return (ONE_MORE if symbol == SHORT else TWO_MORE), True
+    run = {WORD: IN_WORD, DIGIT: IN_DIGITS, SIGN: IN_SIGNS}[symbol]
+    return run, state not in (run, AFTER_GAP)
+
+
+@lru_cache(1)
+def automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(next state, starts a token, function of a symbol, composition, values of a function).
+
+    Every symbol is a function of states. All functions that sequences of symbols can be are found by composing
+    until nothing new comes; their composition is a table, so a function is one number.
+    """
+    step = [[_step(s, x) if x < SYMBOLS else (_step(START, x - SYMBOLS)[0], True) for x in range(2 * SYMBOLS)] for s in range(STATES)]
+    nexts, starts = (np.array([[pair[i] for pair in row] for row in step], np.uint8) for i in (0, 1))
+    known = {tuple(range(STATES)): 0}
+    for f in map(tuple, nexts.T.tolist()):
+        known.setdefault(f, len(known))
+    todo = list(known)
+    while todo:
+        f = todo.pop()
+        for g in map(tuple, nexts.T.tolist()):
+            h = tuple(g[x] for x in f)
+            if h not in known:
+                known[h] = len(known)
+                todo.append(h)
+    values = np.array(list(known), np.uint8)
+    compose = np.array([[known[tuple(g[x] for x in f)] for g in known] for f in known], np.uint16)
+    symbol = np.array([known[tuple(f)] for f in nexts.T.tolist()], np.uint16)
+    return nexts, starts, symbol, compose, values
+
+
+def _exclusive(functions: np.ndarray) -> np.ndarray:
+    """Composition of all functions before each one: blocks side by side, then the same over their totals."""
+    compose = automaton()[3]
+    n = len(functions)
+    if n < 2:
+        return np.zeros(n, np.uint16)
+    width = max(2, min(256, int(n**0.5)))
+    size = -(-n // width)
+    grid = np.zeros(size * width, np.uint16)
+    grid[:n] = functions
+    grid = np.ascontiguousarray(grid.reshape(size, width).T)
+    total = grid[0]
+    for row in grid[1:]:
+        total = compose[total, row]
+    held = _exclusive(total)
+    out = np.empty_like(grid)
+    for j, row in enumerate(grid):
+        out[j] = held
+        held = compose[held, row]
+    return out.T.ravel()[:n]
+
+
 def boundaries(cp: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """True at each code point that starts a pre-token; ``texts`` holds the start of every text in ``cp``.
 
-    Over the classes the pattern is an automaton whose transition functions are constants (the class changes)
-    or the identity (it stays), so their composition is associative and a running maximum scans it: each
-    code point gets the start and the end of its run. Runs then decide by their two neighbours: a run of blanks
-    gives its last one away, to the next token if it is an ordinary space, and a lone apostrophe takes
-    the letters of a contraction.
+    The pattern is an automaton over the classes of the code points, with what its alternatives look ahead at put
+    into the class. The characters' transition functions compose associatively: blocks of characters are composed side by
+    side, a scan over the blocks gives the state each begins in, and from there all blocks step on together.
     """
     n = len(cp)
     if not n:
         return np.zeros(0, bool)
     k = classes()[cp]
-    start = np.empty(n, bool)
-    start[0] = True
-    np.not_equal(k[1:], k[:-1], out=start[1:])
+    symbol = np.array([SIGN, WORD, DIGIT, BREAK], np.uint8)[k]
     first = np.zeros(n + 1, bool)
     first[texts[texts < n]] = True
-    start |= first[:n]
-    first[n] = True
-    run = np.flatnonzero(start)
-    end = np.append(run[1:], n)
-    kind = k[run]
-    out = start
-    blank = (kind == SPACE) & ~first[end]
-    last = end[blank] - 1
-    out[last] = True
-    joined = cp[last] == 32
-    out[end[blank][joined]] = False
-    mark = np.flatnonzero((kind == OTHER) & (end - run == 1) & (cp[run] == 39))
-    mark = mark[(mark + 1 < len(run))]
-    mark = mark[(kind[mark + 1] == LETTER) & ~first[run[mark + 1]] & out[run[mark]]]
-    if len(mark):
-        at, size = run[mark + 1], end[mark + 1] - run[mark + 1]
-        one = cp[at]
-        two = np.where(size > 1, cp[np.minimum(at + 1, n - 1)], 0)
-        single = np.isin(one, [ord(c) for c in "stmd"])
-        double = ((one == ord("r")) & (two == ord("e"))) | ((one == ord("v")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
-        take = np.where(single, 1, np.where(double, 2, 0))
-        hit = take > 0
-        out[at[hit]] = False
-        more = hit & (size > take)
-        out[(at + take)[more]] = True
-    return out
+    first[0] = first[n] = True
+    # blanks with more blanks or nothing behind them
+    blank = k == SPACE
+    goes_on = first[1:].copy()
+    goes_on[:-1] |= blank[1:]
+    symbol[blank & goes_on] = BLANK
+    symbol[blank & ~goes_on & (cp == 32)] = GAP
+    at = np.flatnonzero(cp == 39)
+    if len(at):
+        a, b = np.minimum(at + 1, n), np.minimum(at + 2, n)
+        one, two = (np.append(cp, 0)[x] for x in (a, b))
+        one = np.where(first[a], 0, one)
+        two = np.where(first[b] | first[a], 0, two)
+        symbol[at[np.isin(one, [ord(c) for c in "stmd"])]] = SHORT
+        double = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        symbol[at[double]] = LONG
+    symbol[first[:n]] += SYMBOLS
+    nexts, starts, function, compose, values = automaton()
+    width = max(1, min(256, int(n**0.5)))
+    size = -(-n // width)
+    grid = np.full(size * width, WORD, np.uint8)
+    grid[:n] = symbol
+    grid = np.ascontiguousarray(grid.reshape(size, width).T)
+    total = function[grid[0]]
+    after = compose[:, function]  # a function followed by a symbol
+    for row in grid[1:]:
+        total = after[total, row]
+    state = values[_exclusive(total), START]
+    out = np.empty((width, size), np.uint8)
+    for j, row in enumerate(grid):
+        out[j] = starts[state, row]
+        state = nexts[state, row]
+    return out.T.ravel()[:n].view(bool)
 
 
 class Merger:

@@ -74,3 +74,13 @@ def test_documents(spark, public, monkeypatch):
     for r in encode.encode_corpus(d, PATH, offsets=True).filter("size(ids) < 100").collect():
         text = next(t for k, t in rows if k == r.doc_id and public.encode_ordinary(t or "") == list(r.ids)) or ""
         assert encode.decode(r.ids, ranks) == text and len(r.ends) == len(r.ids) and (not text or r.ends[-1] == len(text.encode()))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 2 * encode.SYMBOLS - 1), max_size=400))
+def test_scan_of_transition_functions(symbols):
+    nexts, starts, function, compose, values = encode.automaton()
+    got, state = encode._exclusive(function[np.array(symbols, np.int64)]), encode.START
+    for f, x in zip(got, symbols):
+        assert values[f, encode.START] == state
+        state = nexts[state, x]
