@@ -35,15 +35,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_top(spark, d).select("field_name", "item")
 
 
-def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of tag keys in one present element, with lift and log-likelihood ratio."""
+def _key_pairs(spark: SparkSession, d: str) -> DataFrame:
     elements = present_elements(table(spark, d, "dense_nodes"), table(spark, d, "ways"), table(spark, d, "string_tables"))
     return together.co_occurrence(elements.select(F.transform("tags", lambda t: t["key"]).alias("items")))
 
 
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of tag keys in one present element, with lift and log-likelihood ratio, rounded to six places."""
+    return _key_pairs(spark, d).withColumns({c: F.round(c, 6) for c in ("lift", "llr")})
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of keys in at least 2 % of the tagged elements and three times as often as by chance."""
-    return p5_pairs(spark, d).filter("n_ab >= 0.02 * n and n_ab * n >= 3 * n_a * n_b").select("key_a", "key_b")
+    return _key_pairs(spark, d).filter("n_ab >= 0.02 * n and n_ab * n >= 3 * n_a * n_b").select("key_a", "key_b")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -22,5 +22,10 @@ _SETS = """WITH both_kinds AS (
 ORACLES = {
     "p2_found": _NAMES + "SELECT field_name, item FROM top WHERE n >= 0.01 * n_group",
     "p2_top": _NAMES + "SELECT field_name, item, n, n_group FROM top WHERE n >= 0.01 * n_group",
+    "p5_pairs": _SETS
+    + """, g AS (SELECT *, CAST(n AS DOUBLE) AS t, CAST(n_ab AS DOUBLE) AS k11, CAST(n_a - n_ab AS DOUBLE) AS k12, CAST(n_b - n_ab AS DOUBLE) AS k21, CAST(n - n_a - n_b + n_ab AS DOUBLE) AS k22 FROM measured)
+SELECT key_a, key_b, n_ab, n_a, n_b, n, round(k11 * t / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift,
+  round(2 * (CASE WHEN k11 > 0 THEN k11 * ln(k11 * t / (CAST(n_a AS DOUBLE) * n_b)) ELSE 0 END + CASE WHEN k12 > 0 THEN k12 * ln(k12 * t / (n_a * (t - n_b))) ELSE 0 END
+   + CASE WHEN k21 > 0 THEN k21 * ln(k21 * t / ((t - n_a) * n_b)) ELSE 0 END + CASE WHEN k22 > 0 THEN k22 * ln(k22 * t / ((t - n_a) * (t - n_b))) ELSE 0 END), 6) AS llr FROM g""",
     "p5_found": _SETS + "SELECT key_a, key_b FROM measured WHERE n_ab >= 0.02 * n AND n_ab * n >= 3 * n_a * n_b",
 }

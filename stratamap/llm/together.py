@@ -11,44 +11,46 @@ from pyspark.sql import functions as F
 
 from stratamap.session import cut
 
-#: Neighbour entries that one task holds before it hands its stripes on.
-STRIPE_ENTRIES = 2_000_000
-
-
-def _pairs(offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ordered pairs (a, b), a <= b by position in the sorted record, of each record's item codes."""
-    size = np.diff(offsets)
-    reps = np.repeat(np.repeat(offsets[1:], size) - np.arange(len(codes)), 1)
-    left = np.repeat(np.arange(len(codes)), reps)
-    start = np.repeat(np.cumsum(reps) - reps, reps)
-    right = left + (np.arange(len(left)) - start)
-    return codes[left], codes[right]
-
-
-def _stripes(batches: Iterator[pa.RecordBatch], limit: int = STRIPE_ENTRIES) -> Iterator[pa.RecordBatch]:
+#: Neighbour entries that one task holds before it hands its stripes on, and pairs that it expands at once.
+STRIPE_ENTRIES, PAIRS = 2_000_000, 1_000_000
+#: Segments that an item's stripe is cut into by its neighbours, so that no stripe of a frequent item is merged by one task.
+SEGMENTS = 8
+
+
+def _pairs(offsets: np.ndarray, codes: np.ndarray, limit: int = PAIRS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All ordered pairs (a, b), a not after b in the sorted record, of each record's item codes, at most ``limit`` at once."""
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    reps = ends - np.arange(len(codes))
+    total = np.append(0, np.cumsum(reps))
+    for low in range(0, int(total[-1]), limit):
+        high = min(low + limit, int(total[-1]))
+        i, j = int(np.searchsorted(total, low, "right")) - 1, int(np.searchsorted(total, high, "left"))
+        left = np.repeat(np.arange(i, j), np.minimum(total[i + 1 : j + 1], high) - np.maximum(total[i:j], low))
+        right = left + np.arange(low, high) - total[left]
+        yield codes[left], codes[right]
+
+
+def _batch(names: list[str | None], a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Stripes ``item, near, n`` of sorted item codes ``a``, their neighbours and counts."""
+    start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
+    at = pa.array(np.append(start, len(a)).astype(np.int32))
+    label = pa.array(names, pa.string())
+    take = lambda x: label.take(pa.array(x))
+    return pa.RecordBatch.from_arrays([take(a[start]), pa.ListArray.from_arrays(at, take(b)), pa.ListArray.from_arrays(at, pa.array(n))], ["item", "near", "n"])
+
+
+def _stripes(batches: Iterator[pa.RecordBatch], limit: int = STRIPE_ENTRIES, pairs: int = PAIRS) -> Iterator[pa.RecordBatch]:
     """Per item an associative array neighbour -> count, the item's own count included; flushed at the limit.
 
-    The row of the null item counts the records.
+    The stripe of the null item counts the records. A record of any size is expanded a bounded number of pairs at a time.
     """
     book: dict[str, int] = {}
-    names: list[str] = []
+    names: list[str | None] = []
     keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     records = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal keys, counts, records
-        a, b = keys >> 32, keys & 0xFFFFFFFF
-        start = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.empty(0, np.int64)
-        ends = np.append(start, len(a)).astype(np.int32)
-        label = np.array(names + [None], object)
-        items = pa.array(list(label[a[start]]) + [None], pa.string())
-        near = pa.ListArray.from_arrays(pa.array(np.append(ends, len(a) + 1).astype(np.int32)), pa.array(list(label[b]) + [None], pa.string()))
-        n = pa.ListArray.from_arrays(pa.array(np.append(ends, len(a) + 1).astype(np.int32)), pa.array(np.append(counts, records)))
-        yield pa.RecordBatch.from_arrays([items, near, n], ["item", "near", "n"])
-        keys, counts, records = np.empty(0, np.int64), np.empty(0, np.int64), 0
-
     for batch in batches:
         lists = batch.column("items")
+        records += len(lists)
         flat = lists.flatten().dictionary_encode()
         for v in flat.dictionary.to_pylist():
             if v not in book:
@@ -56,15 +58,45 @@ def _stripes(batches: Iterator[pa.RecordBatch], limit: int = STRIPE_ENTRIES) ->
                 names.append(v)
         codes = np.array([book[v] for v in flat.dictionary.to_pylist()], np.int64)[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.empty(0, np.int64)
         size = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        a, b = _pairs(np.append(0, np.cumsum(size)), codes)
-        both, at = np.unique(np.append(keys, (a << 32) | b), return_inverse=True)
-        counts = np.bincount(at, np.append(counts, np.ones(len(a), np.int64)), len(both)).astype(np.int64)
-        keys = both
-        records += len(size)
-        if len(keys) > limit:
-            yield from flush()
+        for a, b in _pairs(np.append(0, np.cumsum(size)), codes, pairs):
+            keys, at = np.unique(np.append(keys, (a << 32) | b), return_inverse=True)
+            counts = np.bincount(at, np.append(counts, np.ones(len(a), np.int64)), len(keys)).astype(np.int64)
+            if len(keys) > limit:
+                yield _batch(names, keys >> 32, keys & 0xFFFFFFFF, counts)
+                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        if not len(keys):
             book, names = {}, []
-    yield from flush()
+    yield _batch([*names, None], np.append(keys >> 32, len(names)), np.append(keys & 0xFFFFFFFF, len(names)), np.append(counts, records))
+
+
+def _merge(batches: Iterator[pa.RecordBatch], limit: int = STRIPE_ENTRIES) -> Iterator[pa.RecordBatch]:
+    """One stripe per item and segment of stripes sorted by them: associative arrays are added up, key by key."""
+    key, near, n = None, [], []
+
+    def added() -> tuple[pa.Array, np.ndarray]:
+        names = pa.concat_arrays(near).dictionary_encode(null_encoding="encode")
+        return names.dictionary, np.bincount(names.indices.to_numpy(), np.concatenate(n), len(names.dictionary)).astype(np.int64)
+
+    def stripe() -> pa.RecordBatch:
+        names, total = added()
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), pa.ListArray.from_arrays(pa.array([0, len(total)], pa.int32()), pa.array(total))], ["item", "near", "n"])
+
+    held = 0
+    for b in batches:
+        items, segments = b.column("item").to_pylist(), b.column("segment").to_pylist()
+        for i, now in enumerate(zip(items, segments)):
+            if now != key and near:
+                yield stripe()
+                near, n, held = [], [], 0
+            key = now
+            near.append(b.column("near")[i].values)
+            n.append(b.column("n")[i].values.to_numpy())
+            held += len(near[-1])
+            if held > limit:
+                names, total = added()
+                near, n, held = [names], [total], 0
+    if near:
+        yield stripe()
 
 
 def log_likelihood_ratio(n_ab, n_a, n_b, n):
@@ -81,13 +113,18 @@ def co_occurrence(records: DataFrame) -> DataFrame:
 
     ``records`` has ``items array<string>``; an item counts once per record, nulls do not count, a record
     without any item does not count as one. Each task merges its records into stripes (flushed at a fixed
-    number of entries); stripes are merged by item and neighbour, so an item in a third of all records sends one
-    stripe per task. The merged table is written to the shared checkpoint folder, as it is used three times.
+    number of entries), cuts them into segments by a hash of the neighbour and sends them to the task of their item and segment,
+    which adds them up as arrays: an item in a third of all records sends one stripe per task, to as many
+    reducers as there are segments. The merged stripes are written to the shared checkpoint folder, as they are used three times.
     """
     clean = records.select(F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items")).filter(F.size("items") > 0)
     stripes = clean.mapInArrow(_stripes, "item string, near array<string>, n array<bigint>")
-    merged = stripes.select("item", F.explode(F.arrays_zip("near", "n")).alias("e")).groupBy("item", F.col("e.near").alias("other")).agg(F.sum("e.n").alias("n"))
-    kept = cut(merged)
+    entries = F.arrays_zip("near", "n")
+    segment = lambda i: F.filter(entries, lambda e: F.pmod(F.hash(e["near"]), F.lit(SEGMENTS)) == i)
+    parts = F.array(*[F.struct(F.lit(i).alias("segment"), segment(i).alias("e")) for i in range(SEGMENTS)])
+    cutup = stripes.select("item", F.explode(parts).alias("p")).filter(F.size("p.e") > 0).select("item", "p.segment", F.col("p.e.near").alias("near"), F.col("p.e.n").alias("n"))
+    merged = cutup.repartition("item", "segment").sortWithinPartitions("item", "segment").mapInArrow(_merge, "item string, near array<string>, n array<bigint>")
+    kept = cut(merged).select("item", F.explode(F.arrays_zip("near", "n")).alias("e")).select("item", F.col("e.near").alias("other"), F.col("e.n").alias("n"))
     row = kept.filter("item is null").first()
     total = F.lit(int(row["n"]) if row else 0).cast("bigint")
     pairs = kept.filter("item < other").select(F.col("item").alias("key_a"), F.col("other").alias("key_b"), F.col("n").alias("n_ab"))

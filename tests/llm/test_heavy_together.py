@@ -69,10 +69,17 @@ def test_pairs_against_brute_force(spark, limit, monkeypatch):
 
         merged = Counter()
         batches = [pa.RecordBatch.from_arrays([pa.array([sorted(s) for s in sets[i : i + 50]], pa.list_(pa.string()))], ["items"]) for i in range(0, n, 50)]
-        for b in together._stripes(iter(batches), limit=1):
+        parts = [b for pairs in (1, 5, 1000) for b in together._stripes(iter(batches), limit=1, pairs=pairs)]
+        for b in parts:
             for row in b.to_pylist():
                 for other, c in zip(row["near"], row["n"]):
                     merged[row["item"], other] += c
+        merged = Counter({k: c // 3 for k, c in merged.items()})
+        rows = sorted((r for b in parts for r in b.to_pylist()), key=lambda r: str(r["item"]))
+        again = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in (("item", pa.string()), ("near", pa.list_(pa.string())), ("n", pa.list_(pa.int64())))] + [pa.array([0] * len(rows))], ["item", "near", "n", "segment"])
+        for cap in (1, 10**6):
+            total = {(r["item"], o): c for b in together._merge(iter([again.slice(0, 7), again.slice(7)]), cap) for r in b.to_pylist() for o, c in zip(r["near"], r["n"])}
+            assert total == {k: 3 * c for k, c in merged.items()}
         assert merged == Counter({(None, None): n, **{(k, k): c for k, c in one.items()}, **both})
         return
     got = {(x.key_a, x.key_b): x for x in together.co_occurrence(d).collect()}
@@ -82,6 +89,14 @@ def test_pairs_against_brute_force(spark, limit, monkeypatch):
         assert x.llr == pytest.approx(llr(x.n_ab, x.n_a, x.n_b, n), abs=1e-8) and x.lift == pytest.approx(x.n_ab * n / (x.n_a * x.n_b))
 
 
+def test_large_records_are_expanded_piece_by_piece():
+    codes, offsets = np.arange(3000), np.array([0, 0, 2000, 2000, 3000])
+    got = list(together._pairs(offsets, codes, 100_000))
+    assert max(len(a) for a, _ in got) <= 100_000 and sum(len(a) for a, _ in got) == 2000 * 2001 // 2 + 1000 * 1001 // 2
+    a, b = (np.concatenate(x) for x in zip(*got))
+    assert (a <= b).all() and len(np.unique(a * 3000 + b)) == len(a) and ((a < 2000) == (b < 2000)).all()
+
+
 def test_pairs_of_nothing(spark):
     assert together.co_occurrence(spark.createDataFrame([], "items array<string>")).count() == 0
     assert together.co_occurrence(spark.createDataFrame([([],), (None,)], "items array<string>")).count() == 0
