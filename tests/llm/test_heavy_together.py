@@ -42,10 +42,29 @@ def test_one_item_only(spark):
     assert [tuple(r) for r in heavy.heavy_hitters(spark.createDataFrame([("f", "", 1)], "field_name string, item string, weight bigint")).collect()] == [("f", "", 1, 1)]
 
 
-def test_too_many_groups_are_refused(spark):
-    rows = [(f"g{i}", "x", 1) for i in range(heavy.MAX_GROUPS + 1)]
-    with pytest.raises(Exception, match="groups"):
-        heavy.heavy_hitters(spark.createDataFrame(rows, "field_name string, item string, weight bigint").coalesce(1)).count()
+def test_any_number_of_groups(spark, monkeypatch):
+    rows = [(f"g{i % 150}", f"x{i % 3}", 1) for i in range(900)]
+    d = spark.createDataFrame(rows, "field_name string, item string, weight bigint").coalesce(2)
+    got = heavy.heavy_hitters(d, 0.3, heavy.Hierarchy(width=256)).collect()
+    assert len(got) == len({(g, x) for g, x, _ in rows}) and {r.n_group for r in got} == {6}
+
+
+def test_rare_shares():
+    """The sketch grows as the share shrinks, and what no bounded sketch can tell is refused."""
+    r = np.random.default_rng(6)
+    x = np.minimum(r.zipf(1.1, 400_000), 200_000_000).astype(np.uint64)
+    kinds, n = np.unique(x, return_counts=True)
+    h = heavy._mix(kinds, 99)
+    for share in (1e-2, 1e-3, 1e-4):
+        shape = heavy.Hierarchy.of(share)
+        flat = np.zeros(shape.slots, np.int64)
+        heavy._add(flat, h, n, shape)
+        got = heavy.descend(flat, int(n.sum()), share, shape)
+        assert set((h[n >= share * n.sum()] >> np.uint64(24)).tolist()) <= set(got.tolist()) and len(got) <= 2 / share
+    assert heavy.Hierarchy.of(1e-2).width < heavy.Hierarchy.of(1e-3).width
+    for share in (1e-6, 0, 2):
+        with pytest.raises(ValueError):
+            heavy.Hierarchy.of(share)
 
 
 def llr(k, a, b, n):
