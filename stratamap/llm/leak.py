@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 #: Words of a passage, edits allowed (one in), and the exact words every such passage must hold:
 #: 20 words with 2 edits leave 3 pieces of at least 6; 5 leaves room, and q-gram counting asks for MIN_SEEDS of them.
@@ -16,9 +18,14 @@ PASSAGE, ONE_IN, SEED = 20, 10, 5
 MIN_SEEDS = (PASSAGE - SEED + 1) - SEED * (PASSAGE // ONE_IN)
 #: Symbols of one shard, and the distance of sampled suffix positions.
 SHARD, SAMPLE = 1_500_000, 8
+#: Pairs of a seed's places (in documents and in items) that are listed outright; a seed with more is common.
+COMMON = 1024
+#: Words of an item around a seed that are compared: windows of 20 hold at most two edits, or the passage has 30 words
+#: and at most three in them (see ``near_seed``); places compared at once.
+WINDOWS, SHIFT, BLOCK = ((20, 18), (30, 27)), 3, 1 << 15
 #: Starts and diagonals aligned at once, and the cost of what cannot be.
 STARTS, NEVER = 4096, 1 << 40
-#: Test items are sent to every task; more words than this are refused.
+#: Test items are sent to every task, so many words at once; more are searched in blocks.
 MAX_ITEM_WORDS = 5_000_000
 
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]+")
@@ -242,43 +249,156 @@ def _align(padded: np.ndarray, pad: int, item: np.ndarray, si: np.ndarray, sd: n
     return found + [(int(n), int(c), int(a), int(b)) for (n, c, b), a, e in zip(far, first, most[:, 2]) if b > e]
 
 
+def near_seed(docs: np.ndarray, at: np.ndarray, items: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether a passage may hold the seed at ``docs[at]`` and ``items[of]``; both arrays have 0 around their texts.
+
+    In a passage of 20 to 29 words or of 38 and more some window of 20 words of the item has two edits at most, as three in
+    each would be more than one in ten; one of 30 to 37 words has at most three in 30. Such a window holds a seed, and all its
+    words but the edited ones stand in the document beside the seed, moved by no more than the edits.
+    """
+    reach = WINDOWS[1][0] - SEED
+    around = np.arange(-reach, SEED + reach)
+    word = items[of[:, None] + around]
+    same = np.zeros(word.shape, bool)
+    for shift in range(-SHIFT, SHIFT + 1):
+        same |= word == docs[at[:, None] + around + shift]
+    same &= word > 0
+    total = np.concatenate([np.zeros((len(at), 1), np.int16), np.cumsum(same, axis=1, dtype=np.int16)], axis=1)
+    ok = np.zeros(len(at), bool)
+    for size, least in WINDOWS:
+        first, last = reach - (size - SEED), reach + 1
+        ok |= ((total[:, first + size : last + size] - total[:, first:last]) >= least).any(axis=1)
+    return ok
+
+
+def _lists(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(list, index) of every entry of lists that begin at ``start`` and have ``size`` entries."""
+    owner = np.repeat(np.arange(len(size)), size)
+    return owner, np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Shard:
+    """The seeds of all items located in the documents of one shard, and the pairs of document and item they speak for."""
+
+    def __init__(self, docs: list[np.ndarray], items: Items):
+        self.items = items
+        size = np.array([len(d) for d in docs], np.int64)
+        full = np.concatenate(docs) if docs else np.empty(0, np.int64)
+        doc_of = np.repeat(np.arange(len(docs)), size)
+        # a run of words outside the items' vocabulary is one symbol 0; so is the border of a document
+        known = full > 0
+        keep = known | np.append(True, known[:-1]) | np.append(True, doc_of[1:] != doc_of[:-1])[: len(full)]
+        border = np.append(False, doc_of[1:] != doc_of[:-1])[: len(full)]
+        where = np.flatnonzero(keep)
+        extra = np.flatnonzero(border[where])
+        text, where = np.insert(full[where], extra, 0), np.insert(where, extra, -1)
+        index = FMIndex(text, len(items.vocabulary) + 1)
+        lo, hi = index.search(items.seeds)
+        hit = np.flatnonzero(hi > lo)
+        kind, rows = _lists(lo[hit], (hi - lo)[hit])
+        kind, place = hit[kind], where[index.locate(rows)]
+        order = np.lexsort((place, kind, doc_of[place]))
+        #: Occurrences in the order of document, kind of seed and place.
+        self.kind, self.place = kind[order], place[order]
+        self.doc = doc_of[self.place]
+        self.start = np.cumsum(size) - size
+        gap = WINDOWS[1][0] + SHIFT
+        pad = lambda words: np.concatenate([np.append(np.zeros(gap, np.int64), w) for w in words] + [np.zeros(gap, np.int64)])
+        self.text, self.text_at = pad(docs), self.start + gap * (1 + np.arange(len(docs)))
+        lengths = np.array([len(w) for w in items.words], np.int64)
+        self.words, self.words_at = pad(items.words), np.cumsum(lengths) - lengths + gap * (1 + np.arange(len(lengths)))
+        owners = items.start[1:] - items.start[:-1]
+        self.common = np.bincount(self.kind, minlength=len(owners)) * owners > COMMON
+
+    def meet(self, doc: np.ndarray, place: np.ndarray, item: np.ndarray, ipos: np.ndarray) -> np.ndarray:
+        """``near_seed`` of places in documents and items, block by block."""
+        at, of = self.text_at[doc] + place - self.start[doc], self.words_at[item] + ipos
+        return np.concatenate([near_seed(self.text, at[i : i + BLOCK], self.words, of[i : i + BLOCK]) for i in range(0, len(at), BLOCK)] or [np.empty(0, bool)])
+
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, place in the item, place) of every occurrence of seeds that are not common."""
+        some = np.flatnonzero(~self.common[self.kind])
+        first = self.items.start[self.kind[some]]
+        owner, back = _lists(first, self.items.start[self.kind[some] + 1] - first)
+        at = some[owner]
+        return self.doc[at] * len(self.items.ids) + self.items.owner[back], self.items.pos[back], self.place[at]
+
+    def shared(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, place in the item, place) of the common seeds that the document and the item of given pairs share."""
+        n = len(self.items.ids)
+        flat = np.repeat(np.arange(len(self.common)), self.items.start[1:] - self.items.start[:-1])
+        mine = np.flatnonzero(self.common[flat])
+        mine = mine[np.argsort(self.items.owner[mine], kind="stable")]
+        held = np.append(0, np.cumsum(np.bincount(self.items.owner[mine], minlength=n)))
+        key = self.doc * len(self.common) + self.kind
+        out = []
+        for i in range(0, len(pairs), 4096):
+            some = pairs[i : i + 4096]
+            which, k = _lists(held[some % n], held[some % n + 1] - held[some % n])
+            back = mine[k]
+            wanted = some[which] // n * len(self.common) + flat[back]
+            lo, hi = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
+            each, at = _lists(lo, hi - lo)
+            out.append((some[which[each]], self.items.pos[back[each]], self.place[at]))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.empty(0, np.int64),) * 3
+
+    def common_pairs(self) -> np.ndarray:
+        """Pairs that a common seed and the words around it speak for.
+
+        All items are held against each of its places in blocks of a few bytes a pair. Where the words before the seed
+        are equal, too, and make a common seed with it, that one has been asked already.
+        """
+        found = [np.empty(0, np.int64)]
+        order = np.argsort(self.kind, kind="stable")
+        ends = np.append(0, np.cumsum(np.bincount(self.kind, minlength=len(self.common))))
+        for kind in np.flatnonzero(self.common):
+            own = order[ends[kind] : ends[kind + 1]]
+            a, b = self.items.start[kind], self.items.start[kind + 1]
+            item, ipos = self.items.owner[a:b], self.items.pos[a:b]
+            before = self.words[self.words_at[item] + ipos - 1]
+            for i in range(0, len(own), max(1, (1 << 20) // max(len(item), 1))):
+                some = own[i : i + max(1, (1 << 20) // max(len(item), 1))]
+                doc, place = self.doc[some], self.place[some]
+                earlier = self.text[self.text_at[doc] + place - self.start[doc] - 1]
+                x, y = np.nonzero((earlier[:, None] != before) | (before == 0))
+                # a seed one word earlier that is not common has its pair among the rare ones already
+                ok = self.meet(doc[x], place[x], item[y], ipos[y])
+                found.append(np.unique(doc[x[ok]] * len(self.items.ids) + item[y[ok]]))
+        return np.unique(np.concatenate(found))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair, place in the item, place) of all shared seeds of the pairs that may hold a passage, sorted by pair."""
+        pair, ipos, place = self.rare()
+        cells = np.unique(np.stack([pair, ipos]), axis=1)[0]
+        found, count = np.unique(cells, return_counts=True)
+        extra = np.zeros(len(found), np.int64)
+        if self.common.any():
+            few = found[count < MIN_SEEDS]
+            more = np.unique(np.stack(self.shared(few)[:2]), axis=1)[0]
+            np.add.at(extra, np.searchsorted(found, more), 1)
+        good = found[count + extra >= MIN_SEEDS]
+        if self.common.any():
+            good = np.union1d(good, self.common_pairs())
+        mine = np.isin(pair, good)
+        every = [np.concatenate(c) for c in zip((pair[mine], ipos[mine], place[mine]), self.shared(good) if self.common.any() else (np.empty(0, np.int64),) * 3)]
+        n = len(self.items.ids)
+        every[0], every[1], every[2] = np.unique(np.stack(every), axis=1) if len(every[0]) else every
+        ok = self.meet(every[0] // n, every[2], every[0] % n, every[1]) if len(every[0]) else np.empty(0, bool)
+        mine = np.isin(every[0], every[0][ok])
+        return tuple(c[mine] for c in every)
+
+
 def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]:
-    """Leaks of one shard: index, search, locate, count seeds per document and item, check the passages."""
-    size = np.array([len(d) for d in docs], np.int64)
-    full = np.concatenate(docs) if docs else np.empty(0, np.int64)
-    doc_of = np.repeat(np.arange(len(docs)), size)
-    start = np.cumsum(size) - size
-    # a run of words outside the items' vocabulary is one symbol 0; so is the border of a document
-    known = full > 0
-    keep = known | np.append(True, known[:-1]) | np.append(True, doc_of[1:] != doc_of[:-1])[: len(full)]
-    border = np.append(False, doc_of[1:] != doc_of[:-1])[: len(full)]
-    where = np.flatnonzero(keep)
-    extra = np.flatnonzero(border[where])
-    text, where = np.insert(full[where], extra, 0), np.insert(where, extra, -1)
-    index = FMIndex(text, len(items.vocabulary) + 1)
-    lo, hi = index.search(items.seeds)
-    hit = np.flatnonzero(hi > lo)
-    n = (hi - lo)[hit]
-    if not len(hit):
+    """Leaks of one shard: index, search, locate, choose pairs of document and item by their seeds, align their words."""
+    if not docs or not len(items.seeds):
         return []
-    rows = np.repeat(lo[hit] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    place = where[index.locate(rows)]
-    seed = np.repeat(hit, n)
-    each = items.start[seed + 1] - items.start[seed]
-    back = np.repeat(items.start[seed] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
-    item, ipos, dpos = items.owner[back], items.pos[back], np.repeat(place, each)
-    doc = doc_of[dpos]
-    pair = doc * len(items.ids) + item
-    cells = np.unique(np.stack([pair, ipos]), axis=1)[0]
-    found, count = np.unique(cells, return_counts=True)
-    good = found[count >= MIN_SEEDS]
-    mine = np.isin(pair, good)
-    order = np.flatnonzero(mine)[np.argsort(pair[mine], kind="stable")]
+    shard = Shard(docs, items)
+    pair, ipos, place = shard.pairs()
     out = []
-    for part in np.split(order, np.flatnonzero(np.diff(pair[order])) + 1) if len(order) else []:
-        d, it = int(doc[part[0]]), int(item[part[0]])
+    for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1) if len(pair) else []:
+        d, it = divmod(int(pair[part[0]]), len(items.ids))
         last = -1
-        for p in sorted(set(passages(docs[d], items.words[it], ipos[part], dpos[part] - start[d])), key=lambda p: (p[2], -p[3], -p[0], p[1])):
+        for p in sorted(set(passages(docs[d], items.words[it], ipos[part], place[part] - shard.start[d])), key=lambda p: (p[2], -p[3], -p[0], p[1])):
             if p[3] > last:  # else it lies within one before
                 last = p[3]
                 out.append((keys[d], items.ids[it], *p))
@@ -325,19 +445,20 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     with fewer than 20 words give nothing; repeated keys each give their rows.
 
     Map-only: each task indexes its documents shard by shard (whole texts, a shard is closed by its number of
-    words) and searches all items at once. The items are the only thing sent to the tasks; their size is
-    checked against ``MAX_ITEM_WORDS`` beforehand.
+    words) and searches all items at once. The items are the only thing sent to the tasks, in blocks of about
+    ``MAX_ITEM_WORDS`` words; each block is a scan of the documents.
     """
-    from pyspark.sql import functions as F
-
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size > MAX_ITEM_WORDS:
-        raise ValueError(f"{size} words of test items; search them in blocks of at most {MAX_ITEM_WORDS}")
-    held = Items([(r[0], r[1], r[2]) for r in items.select("item_id", "opening", "text").collect()])
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+    blocks = max(1, -(-size // MAX_ITEM_WORDS))
     kind = dict(docs.dtypes)[key]
-    arrow = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), ("item_id", pa.int64()), ("n_words", pa.int64()), ("n_edits", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])
-    return docs.select(key, text).mapInArrow(lambda it: _scan(it, key, text, shared.value, arrow), f"{key} {kind}, item_id bigint, n_words bigint, n_edits bigint, first_word bigint, last_word bigint")
+    names = ("item_id", "n_words", "n_edits", "first_word", "last_word")
+    arrow = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), *[(c, pa.int64()) for c in names]])
+    found = []
+    for i in range(blocks):
+        block = items.select("item_id", "opening", "text").filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i)
+        shared = docs.sparkSession.sparkContext.broadcast(Items([(r[0], r[1], r[2]) for r in block.collect()]))
+        found.append(docs.select(key, text).mapInArrow(lambda it, shared=shared: _scan(it, key, text, shared.value, arrow), ", ".join([f"{key} {kind}", *[f"{c} bigint" for c in names]])))
+    return reduce(DataFrame.unionByName, found)
 
 
 def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -347,9 +468,6 @@ def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     side by side; ``n_items`` is the number of test items in a span. Passages of a null key have no document and
     are dropped; documents that repeat a key must be told apart beforehand.
     """
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     w = Window.partitionBy(key).orderBy("first_word", "last_word")
     before = F.max("last_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col("first_word") > before), 1).otherwise(0)

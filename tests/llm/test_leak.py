@@ -74,7 +74,13 @@ def scanned(texts, item):
     return leak._scan_shard(list(range(len(texts))), docs, items)
 
 
-def test_twenty_words_with_one_or_two_edits_at_every_place():
+@pytest.fixture(params=[0, 1024, 10**9])
+def common(request, monkeypatch):
+    """All seeds common, some, none: the same passages must come out."""
+    monkeypatch.setattr(leak, "COMMON", request.param)
+
+
+def test_twenty_words_with_one_or_two_edits_at_every_place(common):
     item = [f"word{i}x" for i in range(60)]
     part, kinds = item[10:30], ("changed", "dropped", "added")
     one = [edited(part, k, i) for k in kinds for i in range(1, 20 if k == "added" else 19)]
@@ -87,7 +93,7 @@ def test_twenty_words_with_one_or_two_edits_at_every_place():
     assert scanned([*three, part[:19], part[1:], edited(part, "changed", 0), edited(part, "changed", 19)], item) == []
 
 
-def test_every_passage_of_a_pair_is_given():
+def test_every_passage_of_a_pair_is_given(common):
     item = [f"word{i}x" for i in range(60)]
     gap = ["zebra"] * 7
     got = scanned([item[:25] + gap + item[30:55], (item[5:30] + gap) * 50], item)
@@ -95,6 +101,33 @@ def test_every_passage_of_a_pair_is_given():
     assert [r[2:] for r in got if r[0] == 1] == [(25, 0, 5 + 32 * i, 29 + 32 * i) for i in range(50)]
 
 
+def test_longer_passages_with_edits_anywhere(common):
+    """One edit in ten words, in the worst places: all in the middle, at both ends, one by one."""
+    item = [f"word{i}x" for i in range(110)]
+    texts = []
+    r = random.Random(5)
+    for n in (29, 30, 33, 37, 38, 45, 60, 90):
+        k = n // 10
+        for places in (range(n // 2, n // 2 + k), range(1, 1 + k), range(n - 1 - k, n - 1), sorted(r.sample(range(2, n - 2), k)), [*range(1, 1 + k // 2), *range(n - 1 - (k - k // 2), n - 1)]):
+            t = item[7 : 7 + n]
+            for i in sorted(places, reverse=True):
+                t = edited(t, r.choice(["changed", "dropped"]), i)
+            texts.append(t)
+    assert {x[0] for x in scanned(texts, item)} == set(range(len(texts)))
+
+
+def test_a_phrase_that_all_share_costs_little():
+    """A phrase in every item and every document that is no passage; some documents hold one around it."""
+    r = random.Random(1)
+    vocabulary, phrase, n = [f"w{i}" for i in range(3000)], [f"c{i}" for i in range(10)], 150
+    texts = [r.choices(vocabulary, k=40) + phrase + r.choices(vocabulary, k=40) for _ in range(n)]
+    items = leak.Items([(i, "", " ".join(t)) for i, t in enumerate(texts)])
+    docs = [np.array([items.vocabulary.get(x.encode(), 0) for x in r.choices(vocabulary, k=200) + (texts[d][35:54] + ["zebra"] + texts[d][55:57] if d % 5 == 0 else phrase) + r.choices(vocabulary, k=200)], np.int64) for d in range(n)]
+    shard = leak.Shard(docs, items)
+    assert shard.common.sum() >= 6 and len(np.unique(shard.pairs()[0])) < 2 * n
+    assert sorted({x[:2] for x in leak._scan_shard(list(range(n)), docs, items)}) == [(d, d) for d in range(0, n, 5)]
+
+
 def test_removal_spans(spark):
     rows = [(1, 7, 0, 30), (1, 8, 10, 20), (1, 8, 25, 50), (1, 7, 50, 60), (1, 9, 61, 90), (2, 7, 5, 30), (None, 7, 1, 30)]
     d = spark.createDataFrame(rows, "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
@@ -127,10 +160,12 @@ def test_shards_change_nothing(spark, monkeypatch):
     assert sorted(whole) == sorted(parts) and {(d, i) for d, i, *_ in whole} >= {(i, i % 8) for i in range(0, 60, 3)}
 
 
-def test_too_many_items_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(leak, "MAX_ITEM_WORDS", 3)
-    with pytest.raises(ValueError):
-        found(spark, ["x"])
+def test_items_are_searched_in_blocks(spark, monkeypatch):
+    items = [(i, "", " ".join(passage(50, i))) for i in range(9)] + [(None, "", "x"), (20, "", None)]
+    texts = [around(" ".join(passage(50, i)[10:40])) for i in range(9)] + [None]
+    whole = found(spark, texts, items)
+    monkeypatch.setattr(leak, "MAX_ITEM_WORDS", 120)
+    assert found(spark, texts, items) == whole == {(i, i) for i in range(9)}
 
 
 def test_hostile_markup_is_read_in_time():
