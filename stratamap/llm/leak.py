@@ -187,45 +187,45 @@ class Items:
         self.start = np.append(0, np.cumsum(np.bincount(kind, minlength=len(self.seeds)))) if len(flat) else np.zeros(1, np.int64)
 
 
-def passages(doc: np.ndarray, item: np.ndarray, i0: np.ndarray, d0: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(words of the item, edits, first and last word in the document) of the accepted passages around the seeds.
+def starts_of(doc: np.ndarray, item: np.ndarray, i0: np.ndarray, d0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (in the item, in the document) where a passage around the seeds may begin.
 
-    A passage begins and ends with a word of the item that stands in the text, spans PASSAGE or more words of the
-    item and has at most one edit in ten of them. Every place where an exact run begins, on the seeds' diagonals or
-    so many beside them as a passage may have edits, is a start; words before it could only prolong the passage.
+    Every place where an exact run begins is a start, on the seeds' diagonals or so many beside them as a passage may have
+    edits; words before it could only prolong the passage.
     """
     m = len(item)
     band = m // ONE_IN
     pad = m + 2 * band
-    padded = np.concatenate([np.zeros(pad, np.int64), doc, np.zeros(pad + 2 * band, np.int64)])
+    padded = np.concatenate([np.zeros(pad, np.int64), doc, np.zeros(pad, np.int64)])
     diags = np.unique((np.unique(d0 - i0)[:, None] + np.arange(-band, band + 1)).ravel())
     rows = np.lib.stride_tricks.sliding_window_view(padded, m)
-    out: list[tuple[int, int, int, int]] = []
+    si, sd = [], []
     for at in range(0, len(diags), STARTS):
         some = diags[at : at + STARTS]
         eq = rows[pad + some] == item
         eq[:, 1:] &= ~eq[:, :-1]
-        r, si = np.nonzero(eq[:, : m - PASSAGE + 1])
-        for cut in range(0, len(r), STARTS):
-            i = si[cut : cut + STARTS]
-            out += _align(padded, pad, item, i, some[r[cut : cut + STARTS]] + i, band)
-    return out
+        r, i = np.nonzero(eq[:, : m - PASSAGE + 1])
+        si.append(i)
+        sd.append(some[r] + i)
+    return np.concatenate(si), np.concatenate(sd)
 
 
-def _align(padded: np.ndarray, pad: int, item: np.ndarray, si: np.ndarray, sd: np.ndarray, band: int) -> list[tuple[int, int, int, int]]:
-    """Word alignment of all starts (si, sd) at once, one word of the item a step, in a band around each diagonal.
+def align(text: np.ndarray, ends: np.ndarray, sd: np.ndarray, words: np.ndarray, wi: np.ndarray, left: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word alignment of many starts at once, one word of the item a step, in a band around each diagonal.
 
-    The band holds every alignment that one edit in ten words allows. Of each start the passage with most words
-    of the item is given, and the one that reaches farthest in the document where that is another.
+    Starts stand at ``text[sd]`` and ``words[wi]``; their texts end at ``ends`` and are followed by more zeros than the band is
+    wide, ``left`` words of the item remain. A passage begins and ends with a word of the item that stands in the text, spans
+    PASSAGE or more words of the item and has at most one edit in ten of them. The band holds every alignment that
+    one edit in ten words allows. For each start (words of the item, edits, last place) of the passage with most words,
+    and of the one that reaches farthest in the document; 0 and -1 where there is none.
     """
-    m, shift = len(item), np.arange(2 * band + 1)
-    ends = np.concatenate([item, np.full(m, -1, np.int64)])
-    doc = np.lib.stride_tricks.sliding_window_view(padded, len(shift))
-    cost = np.tile(np.where(shift >= band, shift - band, NEVER), (len(si), 1))
-    most, far = np.zeros((len(si), 3), np.int64), np.full((len(si), 3), -1, np.int64)
-    open_, first = np.arange(len(si)), sd
-    for t in range(1, m):
-        eq = doc[pad + sd + t - band] == ends[si + t][:, None]
+    shift = np.arange(2 * band + 1)
+    doc = np.lib.stride_tricks.sliding_window_view(text, len(shift))
+    cost = np.tile(np.where(shift >= band, shift - band, NEVER), (len(sd), 1))
+    most, far = np.zeros((len(sd), 3), np.int64), np.full((len(sd), 3), -1, np.int64)
+    open_ = np.arange(len(sd))
+    for t in range(1, int(left.max()) if len(left) else 0):
+        eq = doc[np.minimum(sd + t - band, ends)] == words[wi + t][:, None]
         if t + 1 >= PASSAGE:
             ok = eq & (cost * ONE_IN <= t + 1)
             hit = np.flatnonzero(ok.any(axis=1))
@@ -240,13 +240,12 @@ def _align(padded: np.ndarray, pad: int, item: np.ndarray, si: np.ndarray, sd: n
         step = cost + ~eq
         np.minimum(step[:, :-1], cost[:, 1:] + 1, out=step[:, :-1])
         cost = np.minimum.accumulate(step - shift, axis=1) + shift
-        live = (cost.min(axis=1) * ONE_IN <= m - si) & (si + t + 1 < m)
+        live = (cost.min(axis=1) * ONE_IN <= left) & (t + 1 < left)
         if not live.all():
-            open_, si, sd, cost = open_[live], si[live], sd[live], cost[live]
+            open_, sd, wi, left, ends, cost = (x[live] for x in (open_, sd, wi, left, ends, cost))
             if not len(open_):
                 break
-    found = [(int(n), int(c), int(a), int(b)) for (n, c, b), a in zip(most, first) if n]
-    return found + [(int(n), int(c), int(a), int(b)) for (n, c, b), a, e in zip(far, first, most[:, 2]) if b > e]
+    return most, far
 
 
 def near_seed(docs: np.ndarray, at: np.ndarray, items: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -302,7 +301,8 @@ class Shard:
         self.kind, self.place = kind[order], place[order]
         self.doc = doc_of[self.place]
         self.start = np.cumsum(size) - size
-        gap = WINDOWS[1][0] + SHIFT
+        self.size = size
+        gap = max(WINDOWS[1][0] + SHIFT, 2 + 2 * max((len(w) for w in items.words), default=0) // ONE_IN)
         pad = lambda words: np.concatenate([np.append(np.zeros(gap, np.int64), w) for w in words] + [np.zeros(gap, np.int64)])
         self.text, self.text_at = pad(docs), self.start + gap * (1 + np.arange(len(docs)))
         lengths = np.array([len(w) for w in items.words], np.int64)
@@ -388,21 +388,47 @@ class Shard:
         return tuple(c[mine] for c in every)
 
 
+def passages(shard: Shard, docs: list[np.ndarray]) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By pair (words of the item, edits, first and last word in the document) of the accepted passages, but for those within another."""
+    pair, ipos, place = shard.pairs()
+    items, n = shard.items, len(shard.items.ids)
+    queue: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1) if len(pair) else []:
+        p = int(pair[part[0]])
+        d, it = divmod(p, n)
+        queue.setdefault(len(items.words[it]) // ONE_IN, []).append((p, *starts_of(docs[d], items.words[it], ipos[part], place[part] - shard.start[d])))
+    found: list[tuple[np.ndarray, ...]] = []
+    for band, many in queue.items():
+        of = np.repeat(np.array([p for p, _, _ in many]), [len(si) for _, si, _ in many])
+        si, sd = (np.concatenate([x[k] for x in many]) for k in (1, 2))
+        for i in range(0, len(of), STARTS):
+            p, s, first = of[i : i + STARTS], si[i : i + STARTS], sd[i : i + STARTS]
+            base = shard.text_at[p // n]
+            size = np.array([len(items.words[x]) for x in (p % n).tolist()])
+            for best in align(shard.text, base + shard.size[p // n], base + first, shard.words, shard.words_at[p % n] + s, size - s, band):
+                ok = best[:, 0] > 0
+                found.append((p[ok], first[ok], best[ok, 2] - base[ok], best[ok, 0], best[ok, 1]))
+    out: dict[int, list[tuple[int, int, int, int]]] = {}
+    if found:
+        p, first, last, words, edits = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((edits, -words, -last, first, p))
+        p, first, last, words, edits = p[order], first[order], last[order], words[order], edits[order]
+        if len(p):
+            far = last + np.cumsum(np.append(False, p[1:] != p[:-1])) * (last.max() + 1)  # a later pair always reaches farther
+            new = np.append(True, far[1:] > np.maximum.accumulate(far)[:-1])
+        else:
+            new = np.empty(0, bool)
+        for x in zip(*(c[new].tolist() for c in (p, words, edits, first, last))):
+            out.setdefault(x[0], []).append(x[1:])
+    return out
+
+
 def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]:
     """Leaks of one shard: index, search, locate, choose pairs of document and item by their seeds, align their words."""
     if not docs or not len(items.seeds):
         return []
-    shard = Shard(docs, items)
-    pair, ipos, place = shard.pairs()
-    out = []
-    for part in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1) if len(pair) else []:
-        d, it = divmod(int(pair[part[0]]), len(items.ids))
-        last = -1
-        for p in sorted(set(passages(docs[d], items.words[it], ipos[part], place[part] - shard.start[d])), key=lambda p: (p[2], -p[3], -p[0], p[1])):
-            if p[3] > last:  # else it lies within one before
-                last = p[3]
-                out.append((keys[d], items.ids[it], *p))
-    return out
+    n = len(items.ids)
+    return [(keys[p // n], items.ids[p % n], *x) for p, many in passages(Shard(docs, items), docs).items() for x in many]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], key: str, text: str, items: Items, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
