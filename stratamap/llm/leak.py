@@ -58,6 +58,52 @@ def words_of(text: str) -> list[bytes]:
     return [w.encode() for w in _WORD.findall(t)]
 
 
+class _Traced:
+    """A text under rewriting that knows for each character where it came from."""
+
+    def __init__(self, text: str):
+        self.text, self.at = text, np.arange(len(text))
+
+    def sub(self, pattern: str | re.Pattern, to: str | None = "") -> _Traced:
+        """Replace matches by a text, or by their own last group where ``to`` is None."""
+        pieces, at, last = [], [], 0
+        for m in re.finditer(re.escape(pattern) if isinstance(pattern, str) else pattern, self.text):
+            pieces.append(self.text[last : m.start()])
+            at.append(self.at[last : m.start()])
+            if to is None:
+                pieces.append(m[m.lastindex])
+                at.append(self.at[m.start(m.lastindex) : m.end(m.lastindex)])
+            elif to:
+                pieces.append(to)
+                at.append(np.full(len(to), self.at[m.start()]))
+            last = m.end()
+        if last:
+            self.text, self.at = "".join([*pieces, self.text[last:]]), np.concatenate([*at, self.at[last:]])
+        return self
+
+    def each(self, changed: str, size: list[int]) -> _Traced:
+        """Put a text in which every character became ``size`` ones."""
+        self.text, self.at = changed, np.repeat(self.at, size)
+        return self
+
+
+def places_of(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of ``words_of`` begins and ends in the text, in characters; the end is exclusive."""
+    plain = text.isascii()
+    t = _Traced(text) if plain else _Traced(text).sub(_INVISIBLE)
+    if "\\" in t.text:
+        t.sub("\\-").sub("\\/").sub(_CITE, " ").sub(_ACCENT, None).sub(_COMMAND, " ")
+    t.sub(_KEY, " ").sub("{}").sub(_BROKEN)
+    if plain:
+        spans = [m.span() for m in re.finditer(r"[a-zA-Z0-9]+", t.text)]
+    else:
+        t.each(unicodedata.normalize("NFKD", t.text), [len(unicodedata.normalize("NFKD", c)) for c in t.text])
+        t.each(t.text.lower(), [len(c.lower()) for c in t.text]).sub(_MARKS)
+        spans = [m.span() for m in _WORD.finditer(t.text.translate(LOOKALIKES))]
+    a, b = (np.array([x[k] for x in spans], np.int64) for k in (0, 1))
+    return (t.at[a], t.at[b - 1] + 1) if len(a) else (a, b)
+
+
 def suffix_array(s: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix order by prefix doubling; only suffixes that are still tied are sorted again."""
     n = len(s)
@@ -432,32 +478,37 @@ def _scan_shard(keys: list, docs: list[np.ndarray], items: Items) -> list[tuple]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], key: str, text: str, items: Items, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    keys: list = []
+    held: list[tuple] = []
     docs: list[np.ndarray] = []
-    held = 0
+    words = 0
     get = items.vocabulary.get
 
     def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal keys, docs, held
-        rows = _scan_shard(keys, docs, items)
+        rows, places = [], {}
+        for d, item, *x in _scan_shard(list(range(len(held))), docs, items):
+            if d not in places:
+                places[d] = places_of(held[d][1])
+            begin, end = places[d]
+            rows.append((held[d][0], item, *x, int(begin[x[2]]), int(end[x[3]])))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-        keys, docs, held = [], [], 0
+        held.clear()
+        docs.clear()
 
     for b in batches:
-        ids = b.column(key).to_pylist()
-        for k, t in zip(ids, b.column(text)):
+        for k, t in zip(b.column(key).to_pylist(), b.column(text)):
             t = t.as_py()
             if not t:
                 continue
             w = words_of(t)
             if len(w) < PASSAGE - PASSAGE // ONE_IN:
                 continue
-            keys.append(k)
+            held.append((k, t))
             docs.append(np.fromiter((get(x, 0) for x in w), np.int64, len(w)))
-            held += len(w)
-            if held >= SHARD:
+            words += len(w)
+            if words >= SHARD:
                 yield from flush()
+                words = 0
     if docs:
         yield from flush()
 
@@ -465,8 +516,9 @@ def _scan(batches: Iterator[pa.RecordBatch], key: str, text: str, items: Items,
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document and item where the text holds 20 or more successive words of the item after its opening.
 
-    ``doc_id, item_id, n_words, n_edits, first_word, last_word``: every passage and its words in the document,
-    but for passages that lie within another one of the same item. Markup, citations, comment signs, case, punctuation, line breaks and letter variants do not
+    ``doc_id, item_id, n_words, n_edits, first_word, last_word, first_char, end_char``: every passage with its words in the
+    document and its characters in the raw text (from 0, the end exclusive), but for passages that lie within another
+    one of the same item. Markup, citations, comment signs, case, punctuation, line breaks and letter variants do not
     count, and one word in ten may be changed, dropped or added. Null and empty texts, items without text or
     with fewer than 20 words give nothing; repeated keys each give their rows.
 
@@ -477,7 +529,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     blocks = max(1, -(-size // MAX_ITEM_WORDS))
     kind = dict(docs.dtypes)[key]
-    names = ("item_id", "n_words", "n_edits", "first_word", "last_word")
+    names = ("item_id", "n_words", "n_edits", "first_word", "last_word", "first_char", "end_char")
     arrow = pa.schema([(key, pa.int64() if kind == "bigint" else pa.string()), *[(c, pa.int64()) for c in names]])
     found = []
     for i in range(blocks):
@@ -488,9 +540,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
 
 def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Removal spans ``key, first_word, last_word, n_items`` of each document: its overlapping passages as one.
+    """Removal spans ``key, first_word, last_word, first_char, end_char, n_items`` of each document: its overlapping passages as one.
 
-    Words are counted from 0 as in ``find_leaks``, both ends included. Passages that share no word stay apart, also
+    Words and characters are counted from 0 as in ``find_leaks``: without the characters from ``first_char`` up to ``end_char``
+    of its spans a text holds no passage any more. Passages that share no word stay apart, also
     side by side; ``n_items`` is the number of test items in a span. Passages of a null key have no document and
     are dropped; documents that repeat a key must be told apart beforehand.
     """
@@ -498,5 +551,5 @@ def merge_spans(spans: DataFrame, key: str = "doc_id") -> DataFrame:
     before = F.max("last_word").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col("first_word") > before), 1).otherwise(0)
     runs = spans.filter(F.col(key).isNotNull()).withColumn("_opens", opens).withColumn("_run", F.sum("_opens").over(w))
-    out = runs.groupBy(key, "_run").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.count_distinct("item_id").alias("n_items"))
-    return out.select(key, "first_word", "last_word", "n_items")
+    out = runs.groupBy(key, "_run").agg(F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"), F.min("first_char").alias("first_char"), F.max("end_char").alias("end_char"), F.count_distinct("item_id").alias("n_items"))
+    return out.select(key, "first_word", "last_word", "first_char", "end_char", "n_items")

@@ -61,7 +61,7 @@ def p7_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_spans(spark: SparkSession, d: str) -> DataFrame:
-    """The passages of each test item in each document, with their places in words."""
+    """The passages of each test item in each document, with their places in words and characters."""
     return leak.find_leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
@@ -71,7 +71,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_removal(spark: SparkSession, d: str) -> DataFrame:
-    """Spans of words to remove from each document: its passages of all test items, merged where they overlap."""
+    """Spans to remove from each document: its passages of all test items, merged where they overlap."""
     return leak.merge_spans(p8_spans(spark, d))
 
 

@@ -130,11 +130,39 @@ def test_a_phrase_that_all_share_costs_little():
 
 def test_removal_spans(spark):
     rows = [(1, 7, 0, 30), (1, 8, 10, 20), (1, 8, 25, 50), (1, 7, 50, 60), (1, 9, 61, 90), (2, 7, 5, 30), (None, 7, 1, 30)]
-    d = spark.createDataFrame(rows, "doc_id bigint, item_id bigint, first_word bigint, last_word bigint")
-    assert sorted(map(tuple, leak.merge_spans(d).collect())) == [(1, 0, 60, 2), (1, 61, 90, 1), (2, 5, 30, 1)]
+    d = spark.createDataFrame([(*r, 10 * r[2], 10 * r[3] + 5) for r in rows], "doc_id bigint, item_id bigint, first_word bigint, last_word bigint, first_char bigint, end_char bigint")
+    assert sorted(map(tuple, leak.merge_spans(d).collect())) == [(1, 0, 60, 0, 605, 2), (1, 61, 90, 610, 905, 1), (2, 5, 30, 50, 305, 1)]
     assert leak.merge_spans(d.limit(0)).count() == 0
 
 
+DRESS = st.sampled_from(["word", "Wörd", "ﬁne", "İx", "Σας", "цена", "\\'e", "\\\"{\\i}", "\\cite[p.~2]{abc1999}", " [abc1999] ", "\\emph{", "}", "{}", "\\-", "-\n% ", "­", "​", "\r\n", " ", ", ", "é", "½", "１", "\\ref{x}", "한국", "日本", "x", "7"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(DRESS, max_size=40).map("".join))
+def test_places_of_words(text):
+    begin, end = leak.places_of(text)
+    words = leak.words_of(text)
+    assert len(begin) == len(end) == len(words) and (begin < end).all() and (begin[1:] >= begin[:-1]).all()
+    for w, a, b in zip(words, begin, end):
+        if text[a:b].isascii() and text[a:b].isalnum():
+            assert text[a:b].lower().encode() == w or w.startswith(text[a:b].lower().encode())
+
+
+def test_a_text_without_its_spans_holds_no_passage(spark):
+    part = [f"\\emph{{{w}}}" if i % 3 else w.upper() + "," for i, w in enumerate(ITEM[5:40])]
+    text = around(" ".join(part)) + around("\n% ".join(ITEM[20:50]).replace("e", "é"))
+    d = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, "", " ".join(ITEM))], "item_id bigint, opening string, text string")
+    spans = sorted(leak.merge_spans(leak.find_leaks(d, e)).collect(), reverse=True)
+    assert len(spans) == 2
+    rest = text
+    for s in sorted(spans, key=lambda s: -s.first_char):
+        rest = rest[: s.first_char] + rest[s.end_char :]
+    assert leak.find_leaks(spark.createDataFrame([(1, rest)], "doc_id bigint, text string"), e).count() == 0
+    assert rest.count("Some text comes first.") == 2 and rest.count("And some other text follows here.") == 2
+
+
 def test_items_without_use(spark):
     assert found(spark, [around(" ".join(ITEM))], [(1, None, None), (2, "", ""), (3, "", "too short"), (4, None, " ".join(ITEM)), (None, "", " ".join(ITEM))]) == {(0, 4)}
 
