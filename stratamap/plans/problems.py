@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamap.operators import history, near, orphans, wide
+from stratamap.operators import history, near, orphans, regions, wide
 from stratamap.operators.current import current_rows, present_elements, present_ids, visible, with_blob_params
 from stratamap.session import input_rows, table
 
@@ -44,6 +44,23 @@ def p3_found(spark: SparkSession, d: str, metres: float = 20.0) -> DataFrame:
     return near.near_pairs(points, metres, sample=stored, rows=input_rows(table(spark, d, "dense_nodes")))
 
 
+def p3_regions(spark: SparkSession, d: str) -> DataFrame:
+    """The closed way of the smallest bounding box (in square degrees, ties by the smaller id) around each present node inside any.
+
+    Of several references at one place of a way the one added last counts, ties by the greater node. A way is closed
+    if its first and last reference are the same node; vertices that are not present are skipped.
+    """
+    refs = table(spark, d, "way_refs").filter("way_id is not null and pos is not null")
+    placed = refs.groupBy("way_id", "pos").agg(F.max(F.struct("added_at", "node_ref")).alias("r")).select("way_id", "pos", F.col("r.node_ref").alias("node_ref"))
+    ends = placed.groupBy("way_id").agg(F.min(F.struct("pos", "node_ref")).alias("a"), F.max(F.struct("pos", "node_ref")).alias("b"))
+    closed = ends.filter("b.pos >= a.pos + 3 and a.node_ref = b.node_ref").select("way_id")
+    present, stored = _positions(spark, d)
+    points = present.filter(near.VALID).select("id", (F.lit(1e-9) * F.col("p_lon")).alias("x"), (F.lit(1e-9) * F.col("p_lat")).alias("y"))
+    vertices = placed.join(closed, "way_id").join(points, F.col("node_ref") == F.col("id")).select(F.col("way_id").alias("region"), "pos", "x", "y")
+    sample, rows = stored.filter(near.VALID).select((F.lit(1e-9) * F.col("p_lon")).alias("x")), input_rows(table(spark, d, "dense_nodes"))
+    return regions.points_in_regions(points, regions.ring_edges(vertices), smallest=True, rows=rows, sample=sample).select("id", F.col("region").alias("way_id"))
+
+
 def _periods(spark: SparkSession, d: str, payload: list[str], collapse: bool = False) -> DataFrame:
     """Validity periods of the update feed; the years of receipt are its periods."""
     feed = table(spark, d, "node_updates")
@@ -91,7 +108,7 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.typed(text, ["elem_kind", "id"], attrs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p4_history, p4_found, p4_runs, p6_found, p6_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_regions, p4_history, p4_found, p4_runs, p6_found, p6_wide)}
 
 _PRESENT = "SELECT id FROM (SELECT id, info_visible, row_number() OVER (PARTITION BY id ORDER BY info_version DESC NULLS LAST, info_visible DESC NULLS FIRST) AS rn FROM dense_nodes WHERE id IS NOT NULL) WHERE rn = 1 AND coalesce(info_visible, true)"
 
@@ -148,6 +165,16 @@ ORACLES = {
  around AS (SELECT *, gy + d AS hy FROM cells, (SELECT unnest([-1, 0, 1]) AS d))
 SELECT a.id AS id_a, b.id AS id_b FROM cells a JOIN around b ON a.gy = b.hy AND a.id < b.id
 WHERE 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2)))) <= 20""",
+    "p3_regions": _POSITIONS
+    + """,
+ placed AS (SELECT way_id, pos, node_ref FROM (SELECT *, row_number() OVER (PARTITION BY way_id, pos ORDER BY added_at DESC NULLS LAST, node_ref DESC NULLS LAST) AS rn FROM way_refs WHERE way_id IS NOT NULL AND pos IS NOT NULL) WHERE rn = 1),
+ closed AS (SELECT way_id FROM placed GROUP BY 1 HAVING max(pos) >= min(pos) + 3 AND arg_min(coalesce(node_ref, -9e18), pos) = arg_max(coalesce(node_ref, 9e18), pos)),
+ verts AS (SELECT p.way_id, p.pos, c.x, c.y FROM placed p JOIN closed USING (way_id) JOIN cur c ON c.id = p.node_ref),
+ steps AS (SELECT way_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS nx, coalesce(lead(y) OVER w, first_value(y) OVER w) AS ny FROM verts WINDOW w AS (PARTITION BY way_id ORDER BY pos)),
+ edges AS (SELECT way_id, least(x, nx) AS x1, greatest(x, nx) AS x2, CASE WHEN x < nx THEN y ELSE ny END AS y1, CASE WHEN x < nx THEN ny ELSE y END AS y2 FROM steps WHERE nx <> x),
+ inside AS (SELECT c.id, e.way_id FROM cur c JOIN edges e ON e.x1 <= c.x AND c.x < e.x2 WHERE e.y1 + (c.x - e.x1) * (e.y2 - e.y1) / (e.x2 - e.x1) > c.y GROUP BY 1, 2 HAVING count(*) % 2 = 1),
+ boxes AS (SELECT way_id, (max(x) - min(x)) * (max(y) - min(y)) AS size FROM verts GROUP BY 1)
+SELECT id, way_id FROM (SELECT i.id, i.way_id, row_number() OVER (PARTITION BY i.id ORDER BY b.size, i.way_id) AS rn FROM inside i JOIN boxes b USING (way_id)) WHERE rn = 1""",
     "p4_history": _VERSIONS + "SELECT * FROM hist",
     "p4_found": _VERSIONS + "SELECT id, info_version, valid_from, valid_to FROM hist WHERE is_visible AND (valid_to = -1 OR valid_to > valid_from)",
     "p4_runs": _VERSIONS

@@ -247,9 +247,11 @@ def test_near_pairs_against_brute_force(spark):
     d = spark.createDataFrame(pts + bad, "id bigint, p_lat bigint, p_lon bigint").withColumn("leaf", F.lit(1))
     want = brute_near(pts, 20)
     assert len(want) > 250
-    for leaf_rows in (10, 100000):
-        got = near.near_pairs(d, 20.0, leaf_rows=leaf_rows).collect()
+    for leaf_rows, block in ((10, 2000), (100000, 6)):
+        got = near.near_pairs(d, 20.0, leaf_rows=leaf_rows, block=block).collect()
         assert sorted(map(tuple, got)) == want
+    places = near.near_positions(d, 20.0).collect()
+    assert sum(p.a_n * (p.a_n - 1) // 2 if p[:3] == p[3:] else p.a_n * p.b_n for p in places) == len(want)
     assert near.near_pairs(d.limit(0), 20.0).count() == 0
     assert near.near_pairs(d.filter("id = 600"), 20.0).count() == 0
 
@@ -261,6 +263,26 @@ def test_kd_pairs_are_complete(points, radius):
     got = sorted((int(i), int(j)) for a, b in near.kd_pairs(xyz, radius) for i, j in zip(a, b))
     want = [(i, j) for i in range(len(xyz)) for j in range(i + 1, len(xyz)) if ((xyz[i] - xyz[j]) ** 2).sum() <= radius * radius]
     assert got == want
+    own = np.arange(len(xyz)) % 3 == 0
+    some = {(int(i), int(j)) for a, b in near.kd_pairs(xyz, radius, own) for i, j in zip(a, b)}
+    assert {(i, j) for i, j in want if own[i] or own[j]} <= some <= set(want)
+
+
+def test_a_dense_place_is_split_below_the_margin():
+    """100,000 positions within 150 m: no leaf owns many, none of the pairs is lost, and they come piece by piece."""
+    r = np.random.default_rng(9)
+    lat, lon = 50 + r.uniform(0, 150, 100_000) / 111_000, 7 + r.uniform(0, 150, 100_000) / 71_000
+    xyz, margin = near.unit_vectors(lat, lon), near.chord(0.5)
+    splits = near.fit_splits(xyz[::10], 5, near.chord(20), 4 * 2000 / 10)
+    row, leaf, own = near.place(xyz, splits, margin)
+    assert np.bincount(leaf[own]).max() < 15_000 and own.sum() == len(xyz) and len(row) < 1.2 * len(xyz)
+    found, most = 0, 0
+    for x in np.unique(leaf):
+        at, mine = row[leaf == x], own[leaf == x]
+        for i, j in near.kd_pairs(xyz[at], margin, mine):
+            first, most = np.minimum(at[i], at[j]), max(most, len(i))
+            found += int(np.where(at[i] == first, mine[i], mine[j]).sum())
+    assert found == sum(len(i) for i, _ in near.kd_pairs(xyz, margin)) > 100_000 and most <= 8 * 8 * 8192
 
 
 def test_placement_covers_the_margin():

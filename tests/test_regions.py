@@ -34,6 +34,18 @@ def test_sweep(rings, points):
     assert set(zip(p.tolist(), r.tolist())) == want and len(p) == len(want)
 
 
+def test_sweep_in_small_steps(monkeypatch):
+    r = np.random.default_rng(3)
+    e = np.sort(r.uniform(0, 20, (60, 2)), axis=1)
+    edges, of = np.stack([e[:, 0], r.uniform(0, 20, 60), e[:, 1], r.uniform(0, 20, 60)], axis=1), np.arange(60) // 4
+    x, y = r.uniform(0, 20, (2, 500))
+    whole = set(zip(*(a.tolist() for a in regions.sweep(x, y, edges, of))))
+    least = dict(sorted(whole, reverse=True))
+    monkeypatch.setattr(regions, "CELLS", 100)
+    assert set(zip(*(a.tolist() for a in regions.sweep(x, y, edges, of)))) == whole
+    assert dict(zip(*(a.tolist() for a in regions.sweep(x, y, edges, of, True)))) == least
+
+
 def test_points_in_regions(spark):
     r = np.random.default_rng(8)
     rings = {}
@@ -50,5 +62,9 @@ def test_points_in_regions(spark):
     assert len(want) > 100
     for rows in (30, 100000):
         assert sorted(map(tuple, regions.points_in_regions(d, regions.ring_edges(v), rows).collect())) == want
+    box = {i: (max(x for x, _ in q) - min(x for x, _ in q)) * (max(y for _, y in q) - min(y for _, y in q)) for i, q in rings.items()}
+    least = sorted((i, min((j for k, j in want if k == i), key=lambda j: (box[j], j))) for i in {i for i, _ in want})
+    open_ = v.filter("pos > 0")  # rings whose last vertex does not repeat the first are closed, too
+    assert sorted(map(tuple, regions.points_in_regions(d, regions.ring_edges(open_), 30, smallest=True).collect())) == least
     e = regions.ring_edges(v)
     assert regions.points_in_regions(d.limit(0), e).count() == 0 and regions.points_in_regions(d, e.limit(0)).count() == 0
