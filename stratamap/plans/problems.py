@@ -28,6 +28,18 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(_orphans(spark, d), "ref_table", "month_key")
 
 
+def p1_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Updates of node versions that ``dense_nodes`` does not store, per month of receipt and by which columns were given.
+
+    The key is (id, info_version) under partial match: an update without version only needs its id to be stored.
+    """
+    feed = table(spark, d, "node_updates")
+    refs = feed.select("id", "info_version", F.date_format("received_at", "yyyy-MM").alias("month_key"))
+    found = orphans.orphan_references(refs, table(spark, d, "dense_nodes").select("id", "info_version"), ["id", "info_version"], match="partial", total=input_rows(feed))
+    given = F.concat_ws("+", F.when(F.col("id").isNotNull(), "id"), F.when(F.col("info_version").isNotNull(), "version"))
+    return found.groupBy("month_key", given.alias("given")).agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct(F.struct("id", "info_version")).alias("n_missing"))
+
+
 def _positions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Positions of present nodes, and of all stored rows."""
     rows = with_blob_params(table(spark, d, "dense_nodes").select("file_path", "blob_offset", "id", "lat", "lon", "info_version", "info_visible"), table(spark, d, "blobs"), ["granularity", "lat_offset", "lon_offset"])
@@ -108,7 +120,12 @@ def p6_wide(spark: SparkSession, d: str) -> DataFrame:
     return wide.typed(text, ["elem_kind", "id"], attrs)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_regions, p4_history, p4_found, p4_runs, p6_found, p6_wide)}
+def p6_text(spark: SparkSession, d: str) -> DataFrame:
+    """The wide table of ``p6_wide`` with all values as canonical text, numbers of any length included."""
+    return _wide(spark, d, empty=True)[0]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_versions, p3_found, p3_regions, p4_history, p4_found, p4_runs, p6_found, p6_wide, p6_text)}
 
 _PRESENT = "SELECT id FROM (SELECT id, info_visible, row_number() OVER (PARTITION BY id ORDER BY info_version DESC NULLS LAST, info_visible DESC NULLS FIRST) AS rn FROM dense_nodes WHERE id IS NOT NULL) WHERE rn = 1 AND coalesce(info_visible, true)"
 
@@ -141,8 +158,8 @@ _CELLS = (
     + r""", typed AS (SELECT t.*, a.attr_type,
    CASE a.attr_type
      WHEN 'string' THEN nullif(val, '')
-     WHEN 'int' THEN CASE WHEN regexp_matches(val, '^[+-]?[0-9]{1,18}$') THEN CAST(CAST(val AS BIGINT) AS VARCHAR) END
-     WHEN 'decimal' THEN CASE WHEN regexp_matches(val, '^[0-9]+([.,][0-9]{1,2})?( ?m)?$') THEN CAST(CAST(replace(regexp_replace(val, ' ?m$', ''), ',', '.') AS DECIMAL(30,2)) AS VARCHAR) END
+     WHEN 'int' THEN CASE WHEN regexp_matches(val, '^[+-]?[0-9]+$') THEN CASE WHEN val[1] = '-' AND regexp_matches(val, '[1-9]') THEN '-' ELSE '' END || regexp_replace(ltrim(val, '+-'), '^0+([0-9])', '\1') END
+     WHEN 'decimal' THEN CASE WHEN regexp_matches(val, '^[0-9]+([.,][0-9]{1,2})?( ?m)?$') THEN regexp_replace(regexp_extract(val, '^[0-9]+'), '^0+([0-9])', '\1') || '.' || rpad(regexp_extract(val, '^[0-9]+[.,]([0-9]+)', 1), 2, '0') END
      WHEN 'bool' THEN CASE WHEN lower(val) IN ('yes','true','1') THEN 'true' WHEN lower(val) IN ('no','false','0') THEN 'false' END
      WHEN 'date' THEN CASE WHEN regexp_matches(val, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN CAST(try_cast(val AS DATE) AS VARCHAR)
                            WHEN regexp_matches(val, '^[0-9]{4}/[0-9]{2}/[0-9]{2}$') THEN CAST(try_cast(replace(val, '/', '-') AS DATE) AS VARCHAR)
@@ -151,6 +168,16 @@ _CELLS = (
 """
 )
 
+#: The attributes of the test tables.
+_ATTRS = "title surface roadclass operator lanes levels speed capacity height width oneway lit fee opened closed_on".split()
+
+_WIDE = (
+    _CELLS
+    + ", firsts AS (SELECT elem_kind, id, attr, attr_text FROM (SELECT *, row_number() OVER (PARTITION BY elem_kind, id, attr ORDER BY pos) AS rn FROM typed WHERE attr_text IS NOT NULL) WHERE rn = 1) SELECT elem_kind, id, "
+    + ", ".join(f"max(attr_text) FILTER (attr = '{a}') AS {a}" for a in _ATTRS)
+    + " FROM (SELECT DISTINCT elem_kind, id FROM tags WHERE attr IS NOT NULL AND stored IS NOT NULL) LEFT JOIN firsts USING (elem_kind, id) GROUP BY 1, 2"
+)
+
 _POSITIONS = """WITH stored AS (
   SELECT n.id, n.info_version AS v, coalesce(n.info_visible, true) AS vis, coalesce(b.lat_offset, 0) + coalesce(b.granularity, 100) * n.lat AS la, coalesce(b.lon_offset, 0) + coalesce(b.granularity, 100) * n.lon AS lo
   FROM dense_nodes n LEFT JOIN blobs b ON b.file_path = n.file_path AND b.blob_offset = n.blob_offset WHERE n.id IS NOT NULL),
@@ -159,6 +186,11 @@ _POSITIONS = """WITH stored AS (
 ORACLES = {
     "p1_found": _ORPHANS + "SELECT DISTINCT r.* FROM refs r WHERE missing_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present p WHERE p.id = r.missing_id)",
     "p1_report": _ORPHANS + "SELECT ref_table, month_key, count(*) AS n_refs, count(DISTINCT missing_id) AS n_missing FROM refs r WHERE missing_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM present p WHERE p.id = r.missing_id) GROUP BY 1, 2",
+    "p1_versions": """WITH refs AS (SELECT id, info_version AS v, strftime(received_at, '%Y-%m') AS month_key FROM node_updates WHERE id IS NOT NULL OR info_version IS NOT NULL),
+ orphan AS (SELECT * FROM refs r WHERE NOT EXISTS (SELECT 1 FROM dense_nodes n WHERE n.id = r.id AND n.info_version = r.v) AND id IS NOT NULL AND v IS NOT NULL
+  UNION ALL SELECT * FROM refs r WHERE v IS NULL AND NOT EXISTS (SELECT 1 FROM dense_nodes n WHERE n.id = r.id)
+  UNION ALL SELECT * FROM refs r WHERE id IS NULL AND NOT EXISTS (SELECT 1 FROM dense_nodes n WHERE n.info_version = r.v))
+SELECT month_key, concat_ws('+', CASE WHEN id IS NOT NULL THEN 'id' END, CASE WHEN v IS NOT NULL THEN 'version' END) AS given, count(*) AS n_refs, count(DISTINCT (id, v)) AS n_missing FROM orphan GROUP BY 1, 2""",
     "p3_found": _POSITIONS
     + """,
  cells AS (SELECT *, CAST(floor(y / 0.0002) AS BIGINT) AS gy FROM cur),
@@ -180,5 +212,6 @@ SELECT id, way_id FROM (SELECT i.id, i.way_id, row_number() OVER (PARTITION BY i
     "p4_runs": _VERSIONS
     + """, marked AS (SELECT *, CASE WHEN lag(is_visible) OVER w IS NOT DISTINCT FROM is_visible AND lag(info_version) OVER w IS NOT NULL THEN 0 ELSE 1 END AS opens FROM hist WINDOW w AS (PARTITION BY id ORDER BY info_version))
 SELECT id, info_version AS first_version, valid_from, CAST(coalesce(lead(valid_from) OVER (PARTITION BY id ORDER BY info_version), -1) AS BIGINT) AS valid_to, is_visible FROM marked WHERE opens = 1""",
+    "p6_text": _WIDE,
     "p6_found": _CELLS + "SELECT elem_kind, id, attr, attr_text FROM (SELECT *, row_number() OVER (PARTITION BY elem_kind, id, attr ORDER BY pos) AS rn FROM typed WHERE attr_text IS NOT NULL) WHERE rn = 1",
 }
