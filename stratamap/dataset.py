@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamap.operators import extract
-from stratamap.session import ship_package
+from stratamap.session import cut, ship_package
 from stratamap.sources import datasource, model
 
 NODE = ["path", "blob_offset", "group_idx", "elem_idx", "kind", "is_dense", "id", "nano_lat", "nano_lon", "tags", "raw_tags", "info"]
@@ -27,7 +27,8 @@ class Extract:
         ship_package(spark)
         datasource.register(spark)
         self.spark, self.path, self.options = spark, path, {"framing": framing, **options}
-        self._zones: DataFrame | None = None
+        self._zones: list | None = None
+        self._index: list | None = None
 
     def _load(self, fmt: str, **options: str) -> DataFrame:
         return self.spark.read.format(fmt).options(**self.options, **options).load(self.path)
@@ -51,6 +52,12 @@ class Extract:
     def blobs(self) -> DataFrame:
         return self._load("strata_blobs")
 
+    def index(self) -> list | None:
+        """The blobs in file order, read from headers once and kept; None where there are more than ``extract.MAX_ZONES``."""
+        if self._index is None:
+            self._index = self.blobs().orderBy("path", "blob_offset").limit(extract.MAX_ZONES + 1).collect()
+        return self._index if len(self._index) <= extract.MAX_ZONES else None
+
     def header(self) -> DataFrame:
         return self._load("strata_header")
 
@@ -66,11 +73,15 @@ class Extract:
     def relation_members(self) -> DataFrame:
         return extract.relation_members(self.relations(["id", "members"]))
 
-    def blob_zones(self) -> DataFrame:
-        """Id ranges per blob and kind, computed once and kept."""
+    def blob_zones(self, kinds: Sequence[str] = model.KINDS) -> DataFrame:
+        """Id ranges per blob and kind; only ids of the kinds are decoded."""
+        return self._load("strata_zones", kinds=",".join(kinds))
+
+    def node_zones(self) -> list | None:
+        """Id ranges of the blobs with nodes, computed once and kept; None where there are too many to hold."""
         if self._zones is None:
-            self._zones = extract.blob_zones(self.elements(["path", "blob_offset", "kind", "id"])).persist()
-        return self._zones
+            self._zones = extract.held_zones(self.blob_zones(("node",)))
+        return self._zones if len(self._zones) <= extract.MAX_ZONES else None
 
     def count_by_kind(self) -> DataFrame:
         return extract.count_by_kind(self.elements(["kind"]))
@@ -78,21 +89,24 @@ class Extract:
     def map_reduce(self, fold: Callable, identity, reduce: Callable, columns: Sequence[str] | None = None):
         return extract.map_reduce(self.elements(columns), fold, identity, reduce)
 
-    def for_each(self, visit: Callable, kinds: Sequence[str] = model.KINDS) -> None:
-        extract.for_each(self.elements(None, kinds), visit)
+    def for_each(self, visit: Callable, kinds: Sequence[str] = model.KINDS, columns: Sequence[str] | None = None) -> None:
+        """Visit elements in file order; of ``columns`` those of the place are needed for the order."""
+        extract.for_each(self.elements(columns, kinds), visit)
 
     def ways_and_deps(self, predicate: Column, pruned: bool = False, columns: Sequence[str] = ("kind", "id", "tags", "refs", "nano_lat", "nano_lon")) -> DataFrame:
         """Matching ways and the nodes they depend on.
 
         With ``pruned``, nodes are read only from blobs whose id range holds a wanted id; the ranges are
-        computed once per extract. Rows are the same either way.
+        computed once per extract and the wanted ids once per call. Rows are the same
+        either way.
         """
         ways = self.elements(columns, ("way",))
-        offsets = None
+        offsets = wanted = None
         if pruned:
-            wanted = extract.distinct_refs(self.elements(["id", "tags", "refs"], ("way",)).filter(predicate))
-            offsets = extract.zones_hit(self.blob_zones(), wanted)
-        return extract.ways_and_deps(ways, self.elements(columns, ("node",), offsets=offsets), predicate)
+            wanted = cut(extract.distinct_refs(self.elements(list(dict.fromkeys([*columns, "refs"])), ("way",)).filter(predicate)))
+            zones = self.node_zones()
+            offsets = None if zones is None else extract.zones_hit(zones, wanted)
+        return extract.ways_and_deps(ways, self.elements(columns, ("node",), offsets=offsets), predicate, wanted)
 
     def header_has(self, feature: str) -> DataFrame:
         """Files that require the feature."""
@@ -100,4 +114,4 @@ class Extract:
 
     def blobs_with(self, kind: str) -> DataFrame:
         """Blobs that hold at least one element of the kind, with its id range."""
-        return self.blob_zones().filter(F.col("kind") == kind)
+        return self.blob_zones((kind,))

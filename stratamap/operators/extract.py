@@ -80,26 +80,30 @@ def tag_rows(elements: DataFrame) -> DataFrame:
     return elements.select("kind", "id", F.posexplode("tags").alias("pos", "t")).select("kind", "id", "pos", "t.key", "t.value")
 
 
-def ways_and_deps(ways: DataFrame, nodes: DataFrame, predicate: Column) -> DataFrame:
+def ways_and_deps(ways: DataFrame, nodes: DataFrame, predicate: Column, wanted: DataFrame | None = None) -> DataFrame:
     """The ways that match, and every stored version of each node they refer to; never relations.
 
     A left semi-join on distinct ids: Spark broadcasts the ids where its size estimate allows and shuffles
     both sides else. Ids are unique only within a kind, so only nodes are joined. References to missing nodes
-    are skipped; a node comes out once per stored row, however many ways use it.
+    are skipped; a node comes out once per stored row, however many ways use it. ``wanted`` are the ids where they are
+    known already.
     """
     hit = ways.filter(predicate)
-    return hit.unionByName(nodes.join(distinct_refs(hit), "id", "left_semi").select(*hit.columns))
+    return hit.unionByName(nodes.join(distinct_refs(hit) if wanted is None else wanted, "id", "left_semi").select(*hit.columns))
 
 
-def zones_hit(zones: DataFrame, ids: DataFrame, limit: int = MAX_ZONES) -> list[tuple[str, int]] | None:
-    """Blobs whose node id range holds any of ``ids``; None where there are too many zones or hits to hold.
+def held_zones(zones: DataFrame, limit: int = MAX_ZONES) -> list:
+    """The node zones ``path, blob_offset, min_id, max_id`` as rows, one more than ``limit`` at most."""
+    return zones.filter("kind = 'node' and min_id is not null").select("path", "blob_offset", "min_id", "max_id").limit(limit + 1).collect()
 
-    The sorted ranges are sent to the tasks (at most ``limit`` of them); each task finds the ranges its ids fall
+
+def zones_hit(rows: list, ids: DataFrame) -> list[tuple[str, int]] | None:
+    """Blobs whose node id range holds any of ``ids``; None where too many are hit to name.
+
+    The sorted ranges are sent to the tasks (at most ``MAX_ZONES`` of them); each task finds the ranges its ids fall
     in by binary search. Ranges may overlap.
     """
-    rows = zones.filter("kind = 'node' and min_id is not null").select("path", "blob_offset", "min_id", "max_id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
+    rows = list(rows)
     rows.sort(key=lambda r: r.min_id)
     if not rows:
         return []

@@ -293,8 +293,10 @@ def ways(block: Block, spans: list[tuple[int, int]], want: set[str]) -> dict[str
     if {"refs", "raw_refs"} & want:
         flat, n = rows.packed(8)
         raw = wire.zigzag_decoded(flat)
-        out["raw_refs"] = lists(pa.array(raw), n)
-        out["refs"] = lists(pa.array(wire.running_by(raw, n, "refs")), n)
+        if "raw_refs" in want:
+            out["raw_refs"] = lists(pa.array(raw), n)
+        if "refs" in want:
+            out["refs"] = lists(pa.array(wire.running_by(raw, n, "refs")), n)
     if "node_locations" in want:
         (la, ln), (lo, on) = rows.packed(9), rows.packed(10)
         n = np.minimum(ln, on)
@@ -326,8 +328,24 @@ def relations(block: Block, spans: list[tuple[int, int]], want: set[str]) -> dic
     return out
 
 
+#: Columns that need no element to be decoded, only counted.
+PLACES = {"path", "blob_offset", "group_idx", "elem_idx", "kind", "is_dense"}
+
+
+def count_dense(block: Block, a: int, b: int | None) -> int:
+    """Dense nodes of a message: the shortest of its id, lat and lon lists."""
+    size = {1: 0, 8: 0, 9: 0}
+    for number, kind, x, y in fields(block.data, a, b, "dense nodes"):
+        if number in size:
+            size[number] += int(np.count_nonzero(np.frombuffer(block.data, np.uint8, y - x, x) < 128)) if kind == BYTES else 1
+    return min(size.values())
+
+
 def decode_block(data: bytes, path: str, offset: int, columns: Sequence[str], kinds: set[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of a block's elements in file order: in each group dense nodes, nodes, ways, relations."""
+    """Batches of a block's elements in file order: in each group dense nodes, nodes, ways, relations.
+
+    Where no column of ``columns`` needs it, elements are only counted, and what is wrong inside them goes unnoticed.
+    """
     block, want = Block(data), set(columns)
     for g, (a, b) in enumerate(block.groups):
         spans: dict[int, list[tuple[int, int]]] = {1: [], 2: [], 3: [], 4: []}
@@ -337,16 +355,17 @@ def decode_block(data: bytes, path: str, offset: int, columns: Sequence[str], ki
         parts = []
         if spans[2]:  # several dense messages are one: their bytes are merged
             x, y = spans[2][0] if len(spans[2]) == 1 else (None, None)
-            parts.append(("node", True, lambda x=x, y=y: dense_nodes(block, x, y, want) if x is not None else dense_nodes(_merged(block, spans[2]), 0, None, want)))
+            whole = (block, x, y) if x is not None else (_merged(block, spans[2]), 0, None)
+            parts.append(("node", True, lambda whole=whole: dense_nodes(*whole, want), lambda whole=whole: count_dense(*whole)))
         for number, name, read in ((1, "node", plain_nodes), (3, "way", ways), (4, "relation", relations)):
             if spans[number]:
-                parts.append((name, False, lambda number=number, read=read: read(block, spans[number], want)))
+                parts.append((name, False, lambda number=number, read=read: read(block, spans[number], want), lambda number=number: len(spans[number])))
         before = 0
-        for name, dense, read in parts:
+        for name, dense, read, count in parts:
             if name not in kinds and "elem_idx" not in want:
                 continue
-            cols = read()
-            n = len(cols["id"])
+            cols = read() if name in kinds and not want <= PLACES else {}
+            n = len(cols["id"]) if cols else count()
             if name in kinds and n:
                 fixed = {
                     "path": lambda: pa.repeat(pa.scalar(path), n), "blob_offset": lambda: pa.array(np.full(n, offset)), "group_idx": lambda: pa.array(np.full(n, g, np.int32)),

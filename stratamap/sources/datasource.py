@@ -1,14 +1,15 @@
 """Spark data sources over block-structured extracts, and a sink for elements.
 
-Formats: ``strata_blobs`` (headers only), ``strata_header``, ``strata_elements`` (read and write) and
-``strata_strings``. Pruning is by immutable options only, so a reader that Spark keeps between queries never
+Formats: ``strata_blobs`` (headers only), ``strata_header``, ``strata_elements`` (read and write),
+``strata_strings`` and ``strata_zones``. Pruning is by immutable options only, so a reader that Spark keeps between queries never
 remembers a filter of another one:
 
 * ``kinds``: comma-separated element kinds to decode;
 * ``columns``: comma-separated columns to decode and return;
 * ``offsets``: comma-separated blob offsets to visit, for a single file (``path@offset`` for several);
 * ``framing``: ``lenient`` (default) or ``strict``; ``start_offset``: where the first blob begins;
-* ``split_bytes``: body bytes that one partition should hold.
+* ``split_bytes``: body bytes that one partition should hold; ``range_bytes``: bytes of a file that one partition holds where
+  blobs are found by the tasks.
 """
 
 from __future__ import annotations
@@ -25,18 +26,20 @@ from pyspark.sql.types import StructType
 from stratamap.sources import blocks, framing, model
 from stratamap.sources.encode import Layout, blob, encode_blocks, header_message
 from stratamap.sources.errors import ExtractError
-from stratamap.sources.files import Folder, list_files, open_file
+from stratamap.sources.files import Folder, file_size, list_files, open_file
 
-#: From so many files on, each task does the framing of its own files.
-SCAN_IN_TASKS = 64
+#: From so many files or bytes on, headers are not read for the plan: tasks find the blobs of their ranges of bytes.
+SCAN_IN_TASKS, PLANNED_BYTES = 64, 16 << 30
 
 
 @dataclass
 class Split(InputPartition):
-    """Blobs of one file, or whole files whose framing the task does itself."""
+    """Blobs of one file, or a range of its bytes (to the end without ``high``) in which the task finds them."""
 
     files: tuple[str, ...]
     heads: tuple[framing.BlobHead, ...] | None = None
+    low: int = 0
+    high: int | None = None
 
 
 def names_of(text: str | None, known: Sequence[str]) -> list[str]:
@@ -57,6 +60,7 @@ class BlockReader(DataSourceReader):
             raise ValueError(f"framing must be one of {framing.FRAMINGS}")
         self.start = int(options.get("start_offset", 0))
         self.split_bytes = int(options.get("split_bytes", 8 << 20))
+        self.range_bytes = int(options.get("range_bytes", 128 << 20))
         self.offsets: set[str] | None = {x.strip() for x in options["offsets"].split(",") if x.strip()} if options.get("offsets") is not None else None
         self.only_heads = only_heads
 
@@ -74,8 +78,10 @@ class BlockReader(DataSourceReader):
 
     def partitions(self) -> Sequence[InputPartition]:
         files = list_files(self.spec)
-        if self.only_heads or len(files) >= SCAN_IN_TASKS:
+        if self.only_heads:
             return [Split((f,)) for f in files] or [Split(())]
+        if len(files) >= SCAN_IN_TASKS or (len(files) and sum(map(file_size, files)) > PLANNED_BYTES):
+            return self.ranges(files)
         out: list[Split] = []
         for f in files:
             held: list[framing.BlobHead] = []
@@ -90,10 +96,23 @@ class BlockReader(DataSourceReader):
                 out.append(Split((f,), tuple(held)))
         return out or [Split(())]
 
+    def ranges(self, files: Sequence[str]) -> list[Split]:
+        """Ranges of bytes; a file whose blobs are named is one split, as those are looked up directly."""
+        out = []
+        for f in files:
+            cuts = list(range(0, file_size(f), self.range_bytes)) or [0] if self.offsets is None else [0]
+            out += [Split((f,), None, low, high) for low, high in zip(cuts, [*cuts[1:], None])]
+        return out
+
+    def found(self, path: str, split: Split) -> Iterator[framing.BlobHead]:
+        if split.heads is not None:
+            return iter(split.heads)
+        return self.heads(path) if self.offsets is not None else framing.range_heads(path, self.strict, split.low, split.high, self.start)
+
     def each(self, split: Split) -> Iterator[tuple[str, framing.BlobHead, bytes]]:
         for path in split.files:
             with open_file(path) as f:
-                for head in split.heads if split.heads is not None else self.heads(path):
+                for head in self.found(path, split):
                     if self.wanted(path, head):
                         yield path, head, framing.read_body(f, head, self.strict)
 
@@ -113,6 +132,26 @@ class ElementReader(BlockReader):
             yield from blocks.decode_block(framing.payload(body), path, head.offset, self.columns, self.kinds)
 
 
+class ZoneReader(BlockReader):
+    """Id ranges by blob and kind; of the elements nothing but ids is decoded, and one row a blob and kind leaves the task."""
+
+    def __init__(self, options: dict[str, str]):
+        super().__init__(options)
+        self.kinds = set(names_of(options.get("kinds"), model.KINDS))
+
+    def read(self, split: Split) -> Iterator[tuple]:
+        for path, head, body in self.each(split):
+            if head.blob_type != framing.DATA_TYPE:
+                continue
+            zones: dict[str, tuple[int, int, int]] = {}
+            for b in blocks.decode_block(framing.payload(body), path, head.offset, ["kind", "id"], self.kinds):
+                ids, kind = b.column("id").to_numpy(), b.column("kind")[0].as_py()
+                low, high, n = zones.get(kind, (ids[0], ids[0], 0))
+                zones[kind] = (min(low, ids.min()), max(high, ids.max()), n + len(ids))
+            for kind, (low, high, n) in zones.items():
+                yield path, head.offset, kind, int(low), int(high), n
+
+
 class BlobListReader(BlockReader):
     def __init__(self, options: dict[str, str]):
         super().__init__(options, only_heads=True)
@@ -176,6 +215,12 @@ class StringSource(_Source):
     FORMAT, COLUMNS, READER = "strata_strings", model.STRINGS, StringReader
 
 
+class ZoneSource(_Source):
+    """One row per data block and kind in it, with the range of its ids."""
+
+    FORMAT, COLUMNS, READER = "strata_zones", model.ZONES, ZoneReader
+
+
 @dataclass
 class Written(WriterCommitMessage):
     name: str | None
@@ -240,7 +285,7 @@ class ElementSource(_Source):
         return ElementWriter(dict(self.options), overwrite)
 
 
-SOURCES = (BlobSource, HeaderSource, ElementSource, StringSource)
+SOURCES = (BlobSource, HeaderSource, ElementSource, StringSource, ZoneSource)
 
 
 def register(spark: SparkSession) -> None:

@@ -31,6 +31,14 @@ def open_file(path: str) -> BinaryIO:
     return io.BufferedReader(system.open_input_file(p), READ_AHEAD)
 
 
+def file_size(path: str) -> int:
+    p = local_path(path)
+    if p is not None:
+        return os.path.getsize(p)
+    system, p = fs.FileSystem.from_uri(path)
+    return system.get_file_info(p).size
+
+
 def _remote(part: str) -> list[str]:
     scheme = part.split("://", 1)[0]
     fixed = part

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamap.session import ship_package, table
+from stratamap.session import shared_folder, ship_package, table
 from stratamap.sources import datasource
-from stratamap.sources.files import local_path
+from stratamap.sources.files import Folder
 
 #: Raised whenever the mapping or the writer changes, so that older files are not read again.
 VERSION = 2
@@ -87,21 +87,13 @@ def event_history(spark: SparkSession, d: str) -> DataFrame:
     return _whole(e.select(F.lit("node").alias("kind"), F.lit(True).alias("is_dense"), F.col("user_id").alias("id"), F.lit(0).alias("nano_lat"), F.lit(0).alias("nano_lon"), _tags(event_type=F.col("event_type")).alias("tags"), _info(F.col("v"), millis("ts"), F.col("event_id"), F.col("user_id"), F.lit("events"), F.col("event_type") != "error").alias("info")))
 
 
-def _root(spark: SparkSession) -> str:
-    """Where extracts are written: the folder all executors share, or a temporary one in a local session."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return local_path(named) if named else os.path.join(tempfile.gettempdir(), f"stratamap-extracts-{os.getuid()}")
-
-
 def _write(df: DataFrame, path: str, **options: str) -> None:
     df.write.format("strata_elements").mode("append").options(**options).save(path)
 
 
 def extract_of(spark: SparkSession, d: str, name: str) -> str:
     """The folder of the extract ``main``, ``partial`` (parts with a key divisible by 5 left out), ``history`` or
-    ``located``; written by the tasks once per state of the tables."""
+    ``located``; written by the tasks once per session and state of the tables, removed when the driver ends."""
     ship_package(spark)
     datasource.register(spark)
     state = [VERSION, os.path.realpath(d), name]
@@ -109,9 +101,11 @@ def extract_of(spark: SparkSession, d: str, name: str) -> str:
         p = f"{d}/{t}.parquet"
         files = [os.path.join(p, f) for f in sorted(os.listdir(p))] if os.path.isdir(p) else [p]
         state += [(f, os.path.getsize(f), os.path.getmtime(f)) for f in files]
-    out = os.path.join(_root(spark), hashlib.sha1(repr(state).encode()).hexdigest()[:16] + "-" + name)
-    if os.path.exists(os.path.join(out, "_COMPLETE")):
+    state.append(spark.sparkContext.applicationId)
+    out = f"{shared_folder(spark).rstrip('/')}/{hashlib.sha1(repr(state).encode()).hexdigest()[:16]}-{name}"
+    if "_COMPLETE" in Folder(out).names():
         return out
+    atexit.register(Folder.remove, out)
     if name in ("main", "partial"):
         nodes = part_nodes(spark, d)
         if name == "partial":
@@ -127,7 +121,7 @@ def extract_of(spark: SparkSession, d: str, name: str) -> str:
         _write(order_ways(spark, d, True).repartitionByRange(8, "id").sortWithinPartitions("id"), out, optional_features="LocationsOnWays", **OFFSETS)
     else:
         raise ValueError(name)
-    open(os.path.join(out, "_COMPLETE"), "w").close()
+    Folder(out).create("_COMPLETE").close()
     return out
 
 

@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
 
-from stratamap.sources.errors import BadMessage, EmptyBlob, HeaderTooBig, InvalidHeaderSize, MessageTooBig, UnexpectedEof
+import numpy as np
+
+from stratamap.sources.errors import BadMessage, EmptyBlob, ExtractError, HeaderTooBig, InvalidHeaderSize, MessageTooBig, UnexpectedEof
 from stratamap.sources.files import open_file
 from stratamap.sources.wire import BYTES, VARINT, fields, int32
 
@@ -85,6 +87,71 @@ def scan_heads(path: str, strict: bool = False, start: int = 0) -> Iterator[Blob
                 return
 
 
+#: Headers in a row that must fit before a place counts as the begin of a blob, and bytes searched at a time.
+CHAIN, WINDOW = 64, 1 << 20
+
+
+def _chained(f: BinaryIO, at: int, end: int) -> bool:
+    """Whether ``CHAIN`` blobs follow each other from a place on, or as many as there are up to the end."""
+    for _ in range(CHAIN):
+        f.seek(at)
+        try:
+            head = read_head(f, True)
+        except ExtractError:
+            return False
+        if head is None:
+            return True
+        at = head.body + head.datasize
+        if at >= end:
+            return at == end
+    return True
+
+
+def sync(f: BinaryIO, start: int, end: int) -> int:
+    """Where the first blob begins that is found at ``start`` or behind; ``end`` if there is none.
+
+    Lengths of headers are small, and a header begins with its type: places that look so are tried in turn. A blob whose
+    header looks otherwise is passed over, so whoever reads up to here must go on from the blob before.
+    """
+    if start <= 0:
+        return 0
+    for low in range(start, end, WINDOW):
+        f.seek(low)
+        buf = np.frombuffer(f.read(WINDOW + 4), np.uint8)
+        if len(buf) < 5:
+            break
+        for at in np.flatnonzero((buf[:-4] == 0) & (buf[1:-3] == 0) & (buf[4:] == 10)).tolist():
+            if _chained(f, low + at, end):
+                return low + at
+    return end
+
+
+def range_heads(path: str, strict: bool, low: int, high: int | None, start: int = 0) -> Iterator[BlobHead]:
+    """Headers of the blobs of one range of bytes: from the first blob found in it to the first one found behind it.
+
+    Ranges that touch share out all blobs between them: each goes on to exactly the place where the next one begins.
+    """
+    with open_file(path) as f:
+        end = f.seek(0, 2)
+        if low <= start:
+            low = start
+            if start > end:
+                raise UnexpectedEof(f"UnexpectedEof: offset {start} lies beyond the {end} bytes of {path}")
+        else:
+            low = sync(f, low, end)
+        stop = end + 1 if high is None or high >= end else sync(f, max(high, start), end) if high > start else start
+        stop = end + 1 if stop == end else stop
+        f.seek(low)
+        while low < stop and low < end + 1 and (head := read_head(f, strict)) is not None:
+            yield head
+            low = head.body + head.datasize
+            if low > stop and stop <= end:
+                raise BadMessage("framing", f"the blob at {head.offset} ends at {low}, beyond the blob found at {stop}")
+            f.seek(low)
+            if low > end:
+                return
+
+
 def head_at(f: BinaryIO, offset: int, strict: bool) -> BlobHead:
     f.seek(offset)
     head = read_head(f, strict)

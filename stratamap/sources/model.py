@@ -21,6 +21,7 @@ HEADER = {
     "optional_features": "array<string>", "writing_program": "string", "source": "string", "replication_timestamp": "bigint",
     "replication_sequence_number": "bigint", "replication_base_url": "string",
 }
+ZONES = {"path": "string", "blob_offset": "bigint", "kind": "string", "min_id": "bigint", "max_id": "bigint", "n": "bigint"}
 STRINGS = {"path": "string", "blob_offset": "bigint", "strings": "array<binary>"}
 
 KINDS = ("node", "way", "relation")

@@ -91,13 +91,6 @@ def varints(buf: bytes, where: str = "packed field") -> np.ndarray:
     return out
 
 
-def counts(spans: list[tuple[int, int]], buf: bytes) -> np.ndarray:
-    """How many varints each span of ``buf`` holds."""
-    ends = np.append(0, np.cumsum(np.frombuffer(buf, np.uint8) < 128))
-    a = np.array(spans, np.int64).reshape(-1, 2)
-    return ends[a[:, 1]] - ends[a[:, 0]]
-
-
 def as_signed(v: np.ndarray) -> np.ndarray:
     return v.view(np.int64)
 

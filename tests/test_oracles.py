@@ -4,10 +4,10 @@ import os
 
 import pytest
 
-from stratamap.plans import elements, problems
+from stratamap.plans import elements, format, problems
 from tests.oracle import TESTDATA, compare
 
-QUERIES, ORACLES = elements.QUERIES | problems.QUERIES, elements.ORACLES | problems.ORACLES
+QUERIES, ORACLES = elements.QUERIES | format.QUERIES | problems.QUERIES, elements.ORACLES | format.ORACLES | problems.ORACLES
 pytestmark = pytest.mark.skipif(not os.path.isdir(f"{TESTDATA}/sf0.001"), reason="no test tables here")
 
 
@@ -33,9 +33,11 @@ def test_pruning_by_zones_reads_fewer_blobs_and_gives_the_same_rows(spark):
     from stratamap.sources.fixtures import extract_of
 
     x = Extract(spark, extract_of(spark, f"{TESTDATA}/sf0.001", "main"))
-    zones = x.blob_zones()
+    zones, held = x.blob_zones(), x.node_zones()
+    assert held is x.node_zones() and len(x.index()) == x.blobs().count() and x.index() is x.index()
+    assert {tuple(r) for r in zones.collect()} == {tuple(r) for r in extract.blob_zones(x.elements(["path", "blob_offset", "kind", "id"])).collect()}
     some = spark.createDataFrame([(0,)], "id bigint")
-    hit = extract.zones_hit(zones, some)
+    hit = extract.zones_hit(held, some)
     assert 0 < len(hit) < zones.filter("kind = 'node'").count()
     assert {r.id for r in x.nodes(["id"], offsets=hit).collect()} >= {0}
-    assert extract.zones_hit(zones, some, limit=1) is None
+    assert len(extract.held_zones(zones, 1)) == 2
