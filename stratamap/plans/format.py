@@ -81,12 +81,11 @@ def header_fields(spark: SparkSession, d: str) -> DataFrame:
 
 def seek_rows(spark: SparkSession, d: str) -> DataFrame:
     """Nodes read from an offset on, from named blobs only, and by ranges of bytes: all are the rows that stand there."""
-    parts = [blob(HEADER_TYPE, header_message()), *_nodes(12, 3)]
-    folder = _written(spark, {"s": b"".join(parts)})
-    at = [sum(map(len, parts[:i])) for i in range(len(parts))]
-    read = lambda how, **o: Extract(spark, f"{folder}/s.pbf", **o).nodes(["id"]).select(F.lit(how).alias("how"), "id")
-    named = Extract(spark, f"{folder}/s.pbf").nodes(["id"], offsets=[(f"{folder}/s.pbf", at[2]), (f"{folder}/s.pbf", at[4])]).select(F.lit("named").alias("how"), "id")
-    return read("start", start_offset=str(at[3])).unionByName(named).unionByName(read("split", split_bytes="1"))
+    x = Extract(spark, f"{_written(spark, {'s': blob(HEADER_TYPE, header_message()) + b''.join(_nodes(12, 3))})}/s.pbf")
+    blobs = x.index()
+    read = lambda how, **o: Extract(spark, x.path, **o).nodes(["id"]).select(F.lit(how).alias("how"), "id")
+    named = x.nodes(["id"], offsets=[(blobs[i].path, blobs[i].blob_offset) for i in (2, 4)]).select(F.lit("named").alias("how"), "id")
+    return read("start", start_offset=str(blobs[3].blob_offset)).unionByName(named).unionByName(read("split", split_bytes="1"))
 
 
 def for_each_counts(spark: SparkSession, d: str) -> DataFrame:
