@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 import zlib
@@ -16,9 +17,12 @@ from pyspark.sql import functions as F
 
 from stratamap.llm.leak import LOOKALIKES
 
+#: Bytes of a token at most, and the step between the overlapping pieces that longer ones (text without blanks) are cut into.
+TOKEN, PIECE = 64, 48
 #: Tokens of a window and the step between windows: every token stands in two of them.
 WINDOW, STEP = 24, 12
-#: Bounds of the training sample: documents labelled abusive and not abusive, and characters of one of them.
+#: Bounds of the training sample: documents labelled abusive and not abusive, and characters of one of them (longer ones
+#: are not trained on; all are scored whole).
 MAX_LABELLED, MAX_TRAIN_CHARS = (1500, 3500), 200_000
 #: Hash buckets of words and of character trigrams, their width, and the hidden width of one direction.
 WORDS, GRAMS, DIM, HIDDEN = 1 << 15, 1 << 14, 16, 16
@@ -54,13 +58,16 @@ def tokens_of(text: str) -> list[bytes]:
 
     Invisible characters, TeX breaks inside words and small inner markup go; look-alike letters, accents and
     compatibility forms become plain; letters spelled out one by one are joined. Figures and signs inside
-    words stay here and are read as letters by ``features``.
+    words stay here and are read as letters by ``features``. Tokens of more than ``TOKEN`` bytes become overlapping pieces.
     """
     t = text if text.isascii() else _FOREIGN.sub(lambda m: _fold(m[0]), text)
     if "\\" in t:
         t = _COMMAND.sub(" ", _INNER.sub(_inner, t.replace("\\-", "").replace("\\/", "")))
     words = t.replace("{}", "").lower().encode("utf-8", "replace").translate(_KEEP).split()
-    return _SPELLED.sub(lambda m: b" " + m[0].replace(b" ", b""), b" " + b" ".join(words) + b" ").split()
+    tokens = _SPELLED.sub(lambda m: b" " + m[0].replace(b" ", b""), b" " + b" ".join(words) + b" ").split()
+    if not tokens or max(map(len, tokens)) <= TOKEN:
+        return tokens
+    return [piece for x in tokens for piece in ([x] if len(x) <= TOKEN else [x[i : i + TOKEN] for i in range(0, len(x) - TOKEN + PIECE, PIECE)])]
 
 
 def features(word: bytes) -> tuple[int, np.ndarray]:
@@ -72,7 +79,7 @@ def features(word: bytes) -> tuple[int, np.ndarray]:
     w = _REPEAT.sub(rb"\1", _LEETED.sub(lambda m: m[0].translate(LEET), word.strip(INSIDE)))
     if not w or w.isdigit():
         w = b"0"
-    c = b"<" + w[:64] + b">"
+    c = b"<" + w + b">"
     return zlib.crc32(w) % WORDS, np.array([zlib.crc32(c[i : i + 3]) % GRAMS for i in range(len(c) - 2)] or [0])
 
 
@@ -456,6 +463,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: tuple[int, int] =
     return [r.text for r in rows], [r.y for r in rows]
 
 
+_TRAINED: dict[str, Model] = {}
+
+
+def trained(texts: Sequence[str], labels: Sequence[int]) -> Model:
+    """``train``, remembered by the content of the sample for the queries of one driver."""
+    digest = hashlib.blake2b(digest_size=16)
+    for t, y in zip(texts, labels):
+        digest.update(f"{y} {len(t)} ".encode() + t.encode("utf-8", "surrogatepass"))
+    key = digest.hexdigest()
+    if key not in _TRAINED:
+        if len(_TRAINED) >= 4:
+            _TRAINED.pop(next(iter(_TRAINED)))
+        _TRAINED[key] = train(texts, labels)
+    return _TRAINED[key]
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, keys: Sequence[str] = ("doc_id", "source"), text: str = "text") -> DataFrame:
     """``keys, score double, n_windows bigint, is_abusive boolean`` of every document.
 
@@ -463,7 +486,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, keys: Sequence[str] = ("
     parameters); scoring is map-only and covers all overlapping windows of the whole text. A null, empty or
     tokenless text has score 0 and no windows; without labels of both kinds nothing is abusive.
     """
-    model = train(*labelled_sample(docs, labels))
+    model = trained(*labelled_sample(docs, labels))
     kinds = dict(docs.dtypes)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(model)

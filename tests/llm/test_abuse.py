@@ -126,3 +126,23 @@ def test_documents(spark):
     rates = {r.source: r for r in abuse.rates_by_source(out).collect()}
     assert set(rates) == {"s0", "s1", None} and rates["s0"].n_docs == 126 and rates[None].rate == 0
     assert abuse.score_documents(d.limit(0), labels_df.limit(0)).count() == 0
+
+
+def test_long_tokens_are_read_whole():
+    """Words glued together or text without blanks: every byte stands in some piece, pieces overlap."""
+    word = "".join(f"{i:03d}x" for i in range(60)).encode()
+    pieces = abuse.tokens_of("start " + word.decode() + " end")
+    assert pieces[0] == b"start" and pieces[-1] == b"end" and max(map(len, pieces)) <= abuse.TOKEN
+    at = [word.index(x) for x in pieces[1:-1]]
+    assert at[0] == 0 and at[-1] + len(pieces[-2]) == len(word) and all(b - a == abuse.PIECE for a, b in zip(at, at[1:]))
+    for n in (31, 32, 33, 55, 56, 57, 200):
+        *most, last = abuse.tokens_of("a1" * n)
+        assert len(b"".join(x[: abuse.PIECE] for x in most) + last) == 2 * n
+
+
+def test_a_model_is_trained_once_for_the_same_sample(monkeypatch):
+    calls = []
+    monkeypatch.setattr(abuse, "train", lambda t, y: calls.append(1) or abuse.Model.fresh())
+    monkeypatch.setattr(abuse, "_TRAINED", {})
+    a = abuse.trained(["x", "y"], [0, 1])
+    assert abuse.trained(["x", "y"], [0, 1]) is a and abuse.trained(["xy", ""], [0, 1]) is not a and len(calls) == 2
