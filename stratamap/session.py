@@ -95,11 +95,17 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Bytes of a table that is spread at most.
+SPREAD_BYTES = 2 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small table over all cores where its files give fewer partitions than there are cores.
 
-    For work that is heavy per row and otherwise map-only. A table of enough files or row groups is left as it
-    is, so nothing large is ever shuffled by this.
+    For work that is heavy per row and otherwise map-only. A table of more than ``SPREAD_BYTES`` by Spark's estimate, or of
+    enough files or row groups, is left as it is, so nothing large is ever shuffled by this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
