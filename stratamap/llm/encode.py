@@ -140,15 +140,18 @@ def boundaries(cp: np.ndarray, texts: np.ndarray) -> np.ndarray:
     grid = np.full(size * width, WORD, np.uint8)
     grid[:n] = symbol
     grid = np.ascontiguousarray(grid.reshape(size, width).T)
-    total = function[grid[0]]
-    after = compose[:, function]  # a function followed by a symbol
-    for row in grid[1:]:
-        total = after[total, row]
-    state = values[_exclusive(total), START]
+    # tables are flat and hold rows' begins, so that a step is one addition and one look-up
+    after = compose[:, function].astype(np.intp).ravel() * (2 * SYMBOLS)  # a function followed by a symbol
+    total = np.zeros(size, np.intp)
+    for row in grid:
+        total = after.take(total + row)
+    state = values[_exclusive((total // (2 * SYMBOLS)).astype(np.uint16)), START].astype(np.intp) * (2 * SYMBOLS)
+    step, starts = nexts.astype(np.intp).ravel() * (2 * SYMBOLS), starts.ravel()
     out = np.empty((width, size), np.uint8)
     for j, row in enumerate(grid):
-        out[j] = starts[state, row]
-        state = nexts[state, row]
+        at = state + row
+        starts.take(at, out=out[j])
+        state = step.take(at)
     return out.T.ravel()[:n].view(bool)
 
 
